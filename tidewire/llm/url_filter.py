@@ -123,7 +123,7 @@ def url_filter(pages: DataFrame, rules: Iterable[Rule] | DataFrame, id_col: str
         .repartitionById(n, F.col("part"))
         .sortWithinPartitions("part", "key", "kind")
         .mapInArrow(_sweep, f"id {kind}, host string, path string, rule string, verdict string")
-        .withColumnRenamed("id", id_col)
+        .select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
     )
 
 

@@ -18,8 +18,6 @@ SPAN = WINDOW - GRAM + 1
 #: A kept gram is one long: 38 bits of hash over 26 bits of place (texts of up to 67 million words).
 PLACE_BITS = 26
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same words before lower-casing: as many.
-_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def item_words(text: Column) -> Column:
@@ -48,22 +46,18 @@ def _place(key: Column) -> Column:
     return key.bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")
 
 
-def _kept(docs: DataFrame, *carry: str) -> DataFrame:
-    """Rows (carry, h, p) of the kept grams of each row's ``w``."""
-    return (
-        docs.withColumn("g", gram_keys(F.col("w")))
-        .select(*carry, F.explode_outer(winnowed(F.col("g"))).alias("k"))
-        .where("k is not null")
-        .select(*carry, F.shiftright("k", PLACE_BITS).alias("h"), _place(F.col("k")).alias("p"))
-    )
+def _marks(rows: DataFrame, lengths: list[int], *carry: str) -> DataFrame:
+    """``carry`` with kept grams of each row's ``w`` (``k``) and all its whole grams of the given lengths (``k1``...)."""
+    return rows.withColumn("g", gram_keys(F.col("w"))).select(*carry, winnowed(F.col("g")).alias("k"), *(gram_keys(F.col("w"), n).alias(f"k{n}") for n in lengths))
 
 
-def _short(docs: DataFrame, lengths: list[int], *carry: str) -> DataFrame | None:
-    """Rows (carry, n, h, p) of all whole grams of the given lengths."""
+def _grams(marks: DataFrame, lengths: list[int], *carry: str) -> DataFrame:
+    """Rows (carry, n, h, p) of the grams that ``_marks`` holds."""
     out = None
-    for n in lengths:
-        rows = docs.select(*carry, F.lit(n).alias("n"), F.explode_outer(gram_keys(F.col("w"), n)).alias("k")).where("k is not null")
-        rows = rows.select(*carry, "n", F.shiftright("k", PLACE_BITS).alias("h"), _place(F.col("k")).alias("p"))
+    for column, n in [("k", GRAM), *((f"k{n}", n) for n in lengths)]:
+        # explode_outer: for explode the optimiser would first compute the size of the array, and with it the array, once more
+        rows = marks.select(*carry, F.lit(n).alias("n"), F.explode_outer(column).alias("x")).where("x is not null")
+        rows = rows.select(*carry, "n", F.shiftright("x", PLACE_BITS).alias("h"), _place(F.col("x")).alias("p"))
         out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -88,22 +82,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     broadcast only if its counted rows are few.
     """
     source = docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
-    worded = source.select("id", "key", item_words(F.col("text")).alias("w"))
     items = checkpointed(
         benchmark.select(F.col(item_col).cast("string").alias("item"), item_words(F.col("text")).alias("w")).where(F.size("w") > 0)
         .withColumn("ik", F.xxhash64("item", "w")).dropDuplicates(["ik"])
     )
     lengths = sorted(r[0] for r in items.where(F.size("w") < WINDOW).select(F.size("w")).distinct().collect())  # 12 values at most
-    item_grams = _kept(items, "ik").select(F.lit(GRAM).alias("n"), "h", "ik", F.col("p").alias("q"))
+    item_grams = _grams(_marks(items, [], "ik"), [], "ik")
     if lengths:
-        whole = _short(items.where(F.size("w") < WINDOW), lengths, "ik", "w")
-        item_grams = item_grams.unionByName(whole.where(F.size("w") == F.col("n")).select("n", "h", "ik", F.col("p").alias("q")))
-    item_grams = checkpointed(item_grams)
+        whole = _grams(_marks(items.where(F.size("w") < WINDOW), lengths, "ik", "w"), lengths, "ik", "w")
+        item_grams = item_grams.unionByName(whole.where(F.size("w") == F.col("n")).drop("w"))
+    item_grams = checkpointed(item_grams.withColumnRenamed("p", "q"))
     few = item_grams.count() <= BROADCAST_ROWS
 
-    grams = _kept(worded, "key").select("key", F.lit(GRAM).alias("n"), "h", "p")
-    if lengths:
-        grams = grams.unionByName(_short(worded, lengths, "key").select("key", "n", "h", "p"))
+    worded = source.select("id", "key", item_words(F.col("text")).alias("w"))
+    marks = checkpointed(_marks(worded.withColumn("n_words", F.size("w").cast("long")), lengths, "id", "key", "n_words"))
+    grams = _grams(marks, lengths, "key")
     seeds = grams.join(F.broadcast(item_grams) if few else item_grams, ["n", "h"]).select("key", "n", "p", "ik", "q")
     seeds = checkpointed(seeds.groupBy("key").agg(F.collect_set(F.struct("n", "p", "ik", "q")).alias("seeds")))
     rows, total = seeds.agg(F.count("*"), F.coalesce(F.sum(F.size("seeds")), F.lit(0))).first()
@@ -131,7 +124,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         lambda s, x: F.struct((s["n"] + F.greatest(F.lit(0), x["b"] - F.greatest(x["a"], s["end"]))).cast("long").alias("n"), F.greatest(s["end"], x["b"]).alias("end")),
     )
     hits = checkpointed(merged.select("key", total["n"].alias("n_hit"), "items"))
-    counted = source.select("id", "key", F.coalesce(F.size(F.regexp_extract_all("text", F.lit(_ANY_CASE), F.lit(0))), F.lit(0)).cast("long").alias("n_words"))
+    counted = marks.select("id", "key", "n_words")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return counted.join(small_or_shuffled(hits, BROADCAST_ROWS // 20), "key", "left").select(
         F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -129,3 +130,14 @@ def combine(h: np.ndarray, n: int) -> np.ndarray:
     for i in range(k):
         out = mix(out * np.uint64(0x100000001B3) + h[i : len(h) - k + 1 + i])
     return out
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write a table as Parquet into the session's checkpoint folder and read it back: a cut of the lineage for wide tables."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints"))
+    path = f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -70,10 +70,17 @@ def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.diff(np.append(start, len(keys)))
 
 
+def _distinct(owners: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Entries sorted by key and owner, once each."""
+    order = np.lexsort((owners, keys))
+    owners, keys = owners[order], keys[order]
+    once = np.append(True, (owners[1:] != owners[:-1]) | (keys[1:] != keys[:-1])) if len(keys) else np.empty(0, bool)
+    return owners[once], keys[once]
+
+
 def _settle(owners: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each key that several owners of a gathering hold, one entry of SHARED goes on; those owners count it here."""
-    order = np.argsort(keys, kind="stable")
-    owners, keys = owners[order], keys[order]
+    owners, keys = _distinct(owners, keys)
     start, length = runs(keys)
     several = np.repeat(length > 1, length)
     known = owners[several]
@@ -83,27 +90,25 @@ def _settle(owners: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return owners[~several], keys[~several], known
 
 
-def send(rows: Iterator[tuple[int, np.ndarray]], bits: int) -> Iterator[pa.RecordBatch]:
-    """Gather rows of (owner, distinct keys) into payloads; an owner that comes again in a gathering counts once."""
+def send(rows: Iterator[tuple[np.ndarray, np.ndarray]], bits: int) -> Iterator[pa.RecordBatch]:
+    """Gather entries (owners, keys) into payloads; an entry that comes again in a gathering counts once."""
 
     def flush() -> pa.RecordBatch:
-        own, key, known = _settle(np.repeat(np.array(list(held), np.int64), [len(x) for x in held.values()]), np.concatenate(list(held.values())))
+        own, key, known = _settle(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]))
         out = list(split(own, key, bits))
         if len(known):
             who, n = np.unique(known, return_counts=True)
             out.append((int(who[0]) & ((1 << bits) - 1), pack_counts(who, n)))
         return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], ["fragment", "payload"])
 
-    held: dict[int, np.ndarray] = {}
-    size = 0
-    for owner, keys in rows:
-        if owner not in held:
-            held[owner] = keys
-            size += len(keys)
+    held, size = [], 0
+    for owners, keys in rows:
+        held.append((owners, keys))
+        size += len(keys)
         if size >= KEYS_PER_PAYLOAD:
             yield flush()
-            held, size = {}, 0
-    if held:
+            held, size = [], 0
+    if size:
         yield flush()
 
 
@@ -120,10 +125,7 @@ def shared_counts(sent: DataFrame, fragments: int) -> DataFrame:
             if held:
                 own, key = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
                 held.clear()
-                order = np.lexsort((own, key))
-                own, key = own[order], key[order]
-                again = np.append(False, (own[1:] == own[:-1]) & (key[1:] == key[:-1]) & (own[1:] != SHARED))
-                own, key = own[~again], key[~again]
+                own, key = _distinct(own, key)
                 length = runs(key)[1]
                 own = own[np.repeat(length > 1, length)]
                 yield counted(*np.unique(own[own != SHARED], return_counts=True))

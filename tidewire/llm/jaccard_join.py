@@ -48,11 +48,11 @@ def shingle_sets(docs: DataFrame, n: int, with_keys: bool) -> DataFrame:
 
 def _send_all(docs: DataFrame, n: int, bits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple[int, np.ndarray]]:
+        def rows() -> Iterator[tuple[np.ndarray, np.ndarray]]:
             for batch in text_batches(batches):
                 for t in batch.column("text").to_pylist():
                     if len(s := np.unique(shingle_hashes(t, n))):
-                        yield signature(s), s
+                        yield np.full(len(s), signature(s), np.int64), s
 
         yield from fr.send(rows(), bits)
 
@@ -100,34 +100,12 @@ def _verify(percent: int):
     return run
 
 
-def jaccard_join(docs: DataFrame, percent: int = 90, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id) of every row: texts link when their shingle sets' Jaccard similarity is at least ``percent`` %.
+def linked_components(sets: DataFrame, prefix: DataFrame, percent: int) -> DataFrame:
+    """(node, component) of the sets (sig, n, h) that link, of those that meet in an entry (sig, t) of ``prefix``.
 
-    Words are runs of characters other than space and \\t-\\r, A-Z lower-cased; a set holds the distinct runs of
-    ``shingle`` words, or the whole sequence of a shorter text. Null and wordless texts have an empty set, link with
-    nothing and are their own component. ``component_id`` is the least id that links reach. Ids are integers; rows
-    that repeat an id are texts of their own that share the id; rows with a null id get the least non-null id they
-    reach, else null. Equal sets are one node, so copies are never paired. Sets are compared by 64-bit hashes.
+    Sets that meet, directly or through others, are a family; a family is cut by size classes and hashes into blocks,
+    and every two blocks of like size are compared once, in one task of bounded size.
     """
-    source = docs.select(F.col(id_col).cast("long").alias("id"), row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
-    meta = checkpointed(shingle_sets(source, shingle, False))
-    total = meta.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    count = fr.n_fragments(total, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    shared = fr.shared_counts(_send_all(source.select("text"), shingle, int(math.log2(count))), count)
-
-    classes = meta.where("sig is not null").groupBy("sig").agg(F.min("key").alias("key"), F.min("id").alias("id"), F.first("n").alias("n"))
-    able = checkpointed(classes.join(shared.select(F.col("owner").alias("sig"), F.col("n").alias("m")), "sig").where(f"100 * m >= {percent} * n").select("key", "sig"))
-    few = source.join(small_or_shuffled(able.select("key")), "key", "left_semi")
-    sets = checkpointed(shingle_sets(few, shingle, True).dropDuplicates(["sig"]).select("sig", "n", "h"))
-
-    # Prefix in the order of document frequency: with ceil(p n) common shingles needed, one of the first n - ceil(p n) + 1 is common.
-    tokens = sets.select("sig", "n", F.explode("h").alias("t"))
-    known = tokens.groupBy("t").agg(F.count("*").alias("df")).where("df > 1")
-    by_text = Window.partitionBy("sig")
-    ranked = tokens.join(known, "t").select(
-        "sig", "n", "t", F.row_number().over(by_text.orderBy("df", "t")).alias("rank"), F.count("*").over(by_text).alias("m")
-    )
-    prefix = checkpointed(ranked.where(f"rank + n - m <= n - cast(ceil({percent} * n / 100) as long) + 1").select("sig", "t"))
     hubs = prefix.groupBy("t").agg(F.min("sig").alias("hub"), F.count("*").alias("c")).where("c > 1")
     family = components(prefix.join(hubs, "t").select("sig", "hub").distinct(), "sig", "hub").select(F.col("node").alias("sig"), F.col("component").alias("family"))
 
@@ -154,7 +132,38 @@ def jaccard_join(docs: DataFrame, percent: int = 90, shingle: int = 3, id_col: s
     met = dealt.select("sig", "family", F.explode(meet).alias("m")).join(sets, "sig").select("family", "m.*", "sig", "n", "h")
     links = met.groupBy("family", "c", "i", "d", "j").applyInArrow(_verify(percent), "a long, b long")
 
-    joined = components(links)
+    return components(links)
+
+
+def jaccard_join(docs: DataFrame, percent: int = 90, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_shingles, component_id) of every row: texts link when their shingle sets' Jaccard similarity is at least ``percent`` %.
+
+    Words are runs of characters other than space and \\t-\\r, A-Z lower-cased; a set holds the distinct runs of
+    ``shingle`` words, or the whole sequence of a shorter text. Null and wordless texts have an empty set, link with
+    nothing and are their own component. ``component_id`` is the least id that links reach. Ids are integers; rows
+    that repeat an id are texts of their own that share the id; rows with a null id get the least non-null id they
+    reach, else null. Equal sets are one node, so copies are never paired. Sets are compared by 64-bit hashes.
+    """
+    source = docs.select(F.col(id_col).cast("long").alias("id"), row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
+    meta = checkpointed(shingle_sets(source, shingle, False))
+    total = meta.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    count = fr.n_fragments(total, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    shared = fr.shared_counts(_send_all(source.select("text"), shingle, int(math.log2(count))), count)
+
+    classes = meta.where("sig is not null").groupBy("sig").agg(F.min("key").alias("key"), F.min("id").alias("id"), F.first("n").alias("n"))
+    able = checkpointed(classes.join(shared.select(F.col("owner").alias("sig"), F.col("n").alias("m")), "sig").where(f"100 * m >= {percent} * n").select("key", "sig"))
+    few = source.join(small_or_shuffled(able.select("key")), "key", "left_semi")
+    sets = checkpointed(shingle_sets(few, shingle, True).dropDuplicates(["sig"]).select("sig", "n", "h"))
+
+    # Prefix in the order of document frequency: with ceil(p n) common shingles needed, one of the first n - ceil(p n) + 1 is common.
+    tokens = sets.select("sig", "n", F.explode("h").alias("t"))
+    known = tokens.groupBy("t").agg(F.count("*").alias("df")).where("df > 1")
+    by_text = Window.partitionBy("sig")
+    ranked = tokens.join(known, "t").select(
+        "sig", "n", "t", F.row_number().over(by_text.orderBy("df", "t")).alias("rank"), F.count("*").over(by_text).alias("m")
+    )
+    prefix = checkpointed(ranked.where(f"rank + n - m <= n - cast(ceil({percent} * n / 100) as long) + 1").select("sig", "t"))
+    joined = linked_components(sets, prefix, percent)
     least = classes.join(joined.select(F.col("node").alias("sig"), "component"), "sig", "left").select("sig", "id", F.coalesce("component", "sig").alias("root"))
     roots = least.groupBy("root").agg(F.min("id").alias("component_id"))
     names = checkpointed(least.join(roots, "root").select("sig", "component_id"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,9 +12,12 @@ from .common import table
 from .decontaminate import contamination
 from .jaccard_join import jaccard_join
 from .language_id import language_id
+from .paragraph_dedup import repeated_paragraphs
+from .pieces import PieceModel, round_trip
 from .pii import pseudonymise
 from .quality_classifier import quality_scores
 from .quality_rules import quality_rules
+from .token_counts import length_histogram, with_suffix_sums
 from .url_filter import url_filter
 
 URL_RULES = [
@@ -23,6 +27,9 @@ URL_RULES = [
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 ]
+#: Vocabulary files; set TIDEWIRE_TOKENIZERS to their folder where it is another.
+TOKENIZERS = os.environ.get("TIDEWIRE_TOKENIZERS", "/opt/tokenizers")
+PIECES, RANKS = f"{TOKENIZERS}/piece_bpe_32k.model", f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
 PII_KEY = "tidewire pseudonyms"
 
 
@@ -45,11 +52,23 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"), percent=90, shingle=3)
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_suffix_sums(length_histogram(table(spark, sf_dir, "documents"), RANKS))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents"), PieceModel.load(PIECES))
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_paragraphs(table(spark, sf_dir, "documents")).drop("removed_spans")
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=5, fold=0, threshold=0.3)
 
@@ -65,7 +84,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pii": op2_pii,
     "op3_quality_rules": op3_quality_rules,
     "op4_ngram_jaccard": op4_ngram_jaccard,
+    "op5_token_counts": op5_token_counts,
     "op6_decontaminate": op6_decontaminate,
+    "op7_sentencepiece": op7_sentencepiece,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_language_id": op10_language_id,
 }

@@ -57,7 +57,9 @@ def line_fails(line: Column, rules: LineRules = LineRules()) -> Column:
 def windows_sorted(w: Column) -> Column:
     """Hashes of the 3-word windows of ``w`` with their places, sorted; pass a real column, as it is read for every window."""
     hashed = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i")))
-    return F.when(F.size(w) > 3, F.sort_array(hashed))
+    # The partition's number, always at least 0, keeps the optimiser from moving filters on results below this column:
+    # it would write its whole expression into the functions that read it for every window.
+    return F.when((F.size(w) > 3) & (F.spark_partition_id() >= 0), F.sort_array(hashed))
 
 
 def repeated_words(s: Column) -> Column:

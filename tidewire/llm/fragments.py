@@ -64,6 +64,11 @@ def pack_counts(owners: np.ndarray, counts: np.ndarray) -> bytes:
     return struct.pack("<II", 0xFFFFFFFF, len(owners)) + owners.astype(np.int64).tobytes() + counts.astype(np.int64).tobytes()
 
 
+def _counts_of(payload: bytes) -> tuple[np.ndarray, np.ndarray] | None:
+    kind, k = struct.unpack_from("<II", payload)
+    return (np.frombuffer(payload, np.int64, k, 8), np.frombuffer(payload, np.int64, k, 8 + 8 * k)) if kind == 0xFFFFFFFF else None
+
+
 def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and lengths of runs of equal sorted keys."""
     start = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
@@ -113,22 +118,28 @@ def send(rows: Iterator[tuple[np.ndarray, np.ndarray]], bits: int) -> Iterator[p
 
 
 def shared_counts(sent: DataFrame, fragments: int) -> DataFrame:
-    """(owner, n): how many keys of each owner another owner holds too, counted by fragment and summed."""
+    """(owner, n): how many keys of each owner another owner holds too, counted by fragment and summed.
 
-    def counted(who: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(who, pa.int64()), pa.array(n, pa.int64())], ["owner", "n"])
+    Partial counts travel as payloads too, dealt by the owner's low bits; there are no more of them than keys.
+    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def dealt(who: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        share = who & (fragments - 1)
+        order = np.argsort(share, kind="stable")
+        who, n, share = who[order], n[order], share[order]
+        start, length = runs(share)
+        return pa.RecordBatch.from_arrays([pa.array(share[start], pa.int32()), pa.array([pack_counts(who[a : a + k], n[a : a + k]) for a, k in zip(start, length, strict=True)], pa.binary())], ["fragment", "payload"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
 
         def done() -> Iterator[pa.RecordBatch]:
             if held:
-                own, key = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
+                own, key = _distinct(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]))
                 held.clear()
-                own, key = _distinct(own, key)
                 length = runs(key)[1]
                 own = own[np.repeat(length > 1, length)]
-                yield counted(*np.unique(own[own != SHARED], return_counts=True))
+                yield dealt(*np.unique(own[own != SHARED], return_counts=True))
 
         for batch in batches:
             for f, payload in zip(batch.column("fragment").to_pylist(), batch.column("payload"), strict=True):
@@ -136,12 +147,18 @@ def shared_counts(sent: DataFrame, fragments: int) -> DataFrame:
                     yield from done()
                     now = f
                 raw = payload.as_py()
-                kind, k = struct.unpack_from("<II", raw)
-                if kind == 0xFFFFFFFF:
-                    yield counted(np.frombuffer(raw, np.int64, k, 8), np.frombuffer(raw, np.int64, k, 8 + 8 * k))
+                if (x := _counts_of(raw)) is not None:
+                    yield dealt(*x)
                 else:
                     held.append(unpack(raw))
         yield from done()
 
-    parts = sent.repartitionById(fragments, F.col("fragment")).sortWithinPartitions("fragment").mapInArrow(run, "owner long, n long")
-    return parts.groupBy("owner").agg(F.sum("n").alias("n"))
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [_counts_of(x.as_py()) for batch in batches for x in batch.column("payload")]
+        if parts:
+            who, at = np.unique(np.concatenate([x[0] for x in parts]), return_inverse=True)
+            n = np.bincount(at, np.concatenate([x[1] for x in parts]), len(who)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(who, pa.int64()), pa.array(n, pa.int64())], ["owner", "n"])
+
+    partial = sent.repartitionById(fragments, F.col("fragment")).sortWithinPartitions("fragment").mapInArrow(count, SCHEMA)
+    return partial.repartitionById(fragments, F.col("fragment")).mapInArrow(add_up, "owner long, n long")

@@ -168,7 +168,7 @@ class RecSource(DataSource):
     def reader(self, schema) -> RecReader:
         return RecReader(self.options)
 
-    def simpleStreamReader(self, schema):
+    def streamReader(self, schema):
         from ..streaming.recordings import RecStream
 
         return RecStream(self.options)

@@ -5,36 +5,44 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.datasource import SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSourceStreamReader
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..sources.rec import RecFormat, files_of
+from ..sources.rec import PacketRange, RecReader, files_of
 
 
-class RecStream(SimpleDataSourceStreamReader):
-    """Packets appended to recordings; an offset is the number of packets read of each file."""
+class RecStream(DataSourceStreamReader):
+    """Packets appended to recordings; an offset is the number of packets of each file, and ranges of them are partitions."""
 
     def __init__(self, options: dict):
-        self.form, self.path = RecFormat(int(options.get("start_byte_size", 1))), options["path"]
-        self.most = int(options.get("packets_per_trigger", 65536))
+        self.reader, self.path = RecReader(options), options["path"]
+        self.most = int(options.get("packets_per_trigger", 1 << 20))
+        self.at: dict = {}
 
     def initialOffset(self) -> dict:
         return {p: 0 for p in files_of(self.path)}
 
-    def _rows(self, start: dict, end: dict) -> Iterator[tuple]:
+    def latestOffset(self) -> dict:
+        """At most ``packets_per_trigger`` more packets of each file than at the last call."""
+        self.at = {p: min(self.reader.form.layout(p).packets, self.at.get(p, 0) + self.most) for p in files_of(self.path)}
+        return self.at
+
+    def partitions(self, start: dict, end: dict) -> list[PacketRange]:
+        out = []
         for i, p in enumerate(files_of(self.path)):
             a, b = start.get(p, 0), end.get(p, 0)
             if b > a:
-                ts, data = self.form.decode(p, self.form.layout(p), a, b - a)
-                yield from ((i, p, a + k, int(t), d.tolist()) for k, (t, d) in enumerate(zip(ts, data, strict=True)))
+                layout = self.reader.form.layout(p)
+                out += [PacketRange(i, p, layout, k, min(self.reader.per, b - k)) for k in range(a, b, self.reader.per)]
+        return out
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        end = {p: min(self.form.layout(p).packets, start.get(p, 0) + self.most) for p in files_of(self.path)}
-        return self._rows(start, end), end
+    def read(self, partition: PacketRange) -> Iterator[pa.RecordBatch]:
+        return self.reader.read(partition)
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return self._rows(start, end)
+    def commit(self, end: dict) -> None:
+        self.at = {p: max(self.at.get(p, 0), n) for p, n in end.items()}
 
 
 def censor_stream(events: DataFrame, t: str = "idx", channel: str = "channel", width: int = 30) -> DataFrame:

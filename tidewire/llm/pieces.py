@@ -174,6 +174,7 @@ class Encoder:
 
         A line end stands as a word of its own there, and what follows it is a word without a mark, told by a \\x01.
         """
+        texts = pa.concat_arrays([texts.slice(0, 0), texts])  # a copy: some kernels misread slices
         odd = pc.or_(pc.match_substring_regex(texts, f"  |\x01|{MARK}"), pc.or_(pc.starts_with(texts, " "), pc.equal(texts, "")))
         odd = pc.fill_null(odd, False).to_numpy(zero_copy_only=False)
         if self.border is _WORD:

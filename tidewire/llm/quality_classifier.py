@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, combine, text_batches, word_hashes
@@ -20,7 +20,9 @@ from .common import checkpointed, combine, text_batches, word_hashes
 #: Rows of each kind that a fit takes at most, by the order of a hash of their ids.
 MAX_FIT_ROWS = 20_000
 BINS, SCORE_BINS = 16, 200
-STEPS, RATE, DECAY = 1500, 0.05, 1e-4
+STEPS, RATE = 800, 0.05
+#: Weight decay of the first classifiers and, as its negatives weigh less, of the final one.
+DECAY, FINAL_DECAY = 5e-4, 3e-5
 
 FEATURES = (
     "words", "word_length", "upper", "digits", "bars", "symbols", "shouts", "stops", "commas", "words_a_line", "distinct_words",
@@ -89,7 +91,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.value(_hot(x, self.edges)), -30, 30)))
 
     def fit(self, pos: np.ndarray, unl: np.ndarray, prior: float | None) -> Model:
-        """With a prior, the non-negative risk of Kiryo and others (2017) with the logistic loss; without, positives against unlabelled."""
+        """With a prior, the non-negative risk of Kiryo and others (2017) with the sigmoid loss; without, positives against unlabelled by the logistic loss."""
         p, u = _hot(pos, self.edges), _hot(unl, self.edges)
         speed, mean, second = np.zeros(len(self.w) + 1), np.zeros(len(self.w) + 1), np.zeros(len(self.w) + 1)
         for step in range(1, STEPS + 1):
@@ -98,15 +100,17 @@ class Model:
             if prior is None:
                 dp, du = (sp - 1) / len(p), su / len(u)
             else:
-                # as negatives: unlabelled minus the positives among them; where that is below 0 it is pushed up
-                rest = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
+                # As negatives: unlabelled rows minus the positives among them; where that is below 0 it is pushed up.
+                # The sigmoid loss is bounded, so sure positives differ little and the difference is known well.
+                rest = su.mean() - prior * sp.mean()
                 sign = 1 if rest >= 0 else -1
-                dp, du = (prior * (sp - 1) * (sign > 0) - sign * prior * sp) / len(p), sign * su / len(u)
+                ep, eu = sp * (1 - sp) / len(p), su * (1 - su) / len(u)
+                dp, du = -prior * ep * (sign > 0) - sign * prior * ep, sign * eu
             grad = np.zeros(len(self.w) + 1)
             for hot, d in ((p, dp), (u, du)):
                 grad[:-1] += np.bincount(hot.ravel(), np.repeat(d, hot.shape[1]), len(self.w))
                 grad[-1] += d.sum()
-            grad[:-1] += DECAY * self.w
+            grad[:-1] += (DECAY if prior is None else FINAL_DECAY) * self.w
             mean, second = 0.9 * mean + 0.1 * grad, 0.999 * second + 0.001 * grad**2
             speed = RATE * (mean / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
             self.w -= speed[:-1]
@@ -127,12 +131,20 @@ def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     return float(np.clip((u[ok] / p[ok])[at], 0.05, 0.99))
 
 
-def _scored(table: DataFrame, model: Model) -> DataFrame:
+def _half() -> Column:
+    """A row's half, 0 or 1, by a hash of its id."""
+    return F.pmod(F.xxhash64("id", F.lit(9)), F.lit(2)).cast("int")
+
+
+def _scored(table: DataFrame, models: list[Model]) -> DataFrame:
+    """Scores of each row by the model of its ``half``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x = np.array(batch.column("x").to_pylist(), float)
-                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("held_out"), batch.column("positive"), pa.array(model.score(x), pa.float64())], ["id", "held_out", "positive", "score"])
+                x, half = np.array(batch.column("x").to_pylist(), float), batch.column("half").to_numpy()
+                score = np.choose(half, [m.score(x) for m in models])
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("held_out"), batch.column("positive"), pa.array(score, pa.float64())], ["id", "held_out", "positive", "score"])
 
     kind = table.schema["id"].dataType.simpleString()
     return table.mapInArrow(run, f"id {kind}, held_out boolean, positive boolean, score double")
@@ -160,19 +172,21 @@ def quality_scores(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int
     plain = source.mapInArrow(run, f"id {kind}, held_out boolean, x array<float>")
     table = checkpointed(plain.join(trusted, "id", "left").withColumn("positive", F.coalesce("positive", F.lit(False)) & ~F.col("held_out")))
 
-    def sample(where: str) -> np.ndarray:
-        rows = table.where(where).select(F.xxhash64("id", F.lit(5)).alias("o"), "x").orderBy("o").limit(max_rows).select("x").toPandas()
-        return np.array(rows["x"].tolist(), float).reshape(-1, len(FEATURES))
+    def sample(where: str) -> tuple[np.ndarray, np.ndarray]:
+        rows = table.where(where).select(F.xxhash64("id", F.lit(5)).alias("o"), _half().alias("half"), "x").orderBy("o").limit(max_rows).toPandas()
+        return np.array(rows["x"].tolist(), float).reshape(-1, len(FEATURES)), rows["half"].to_numpy()
 
-    pos, unl = sample("positive"), sample("not held_out")
+    (pos, pos_half), (unl, unl_half) = sample("positive"), sample("not held_out")
     if not len(pos):
         return table.select(F.col("id").alias(id_col), "held_out", F.lit(0.99).alias("score"), F.lit(1).alias("predicted"))
     edges = _edges(np.concatenate([pos, unl]))
-    first = Model(edges).fit(pos, unl, None)
-    counts = _scored(table.where("not held_out"), first).groupBy(F.least(F.floor(F.col("score") * SCORE_BINS), F.lit(SCORE_BINS - 1)).alias("bin"), "positive").count().collect()  # SCORE_BINS * 2 rows
+    # Each half of the rows is scored by a model of the other half, so no row's score knows that row.
+    first = [Model(edges).fit(pos[pos_half != k], unl[unl_half != k], None) for k in (0, 1)] if min(np.bincount(pos_half, minlength=2)) else [Model(edges).fit(pos, unl, None)] * 2
+    scored = _scored(table.where("not held_out").withColumn("half", _half()), first)
+    counts = scored.groupBy(F.least(F.floor(F.col("score") * SCORE_BINS), F.lit(SCORE_BINS - 1)).alias("bin"), "positive").count().collect()  # SCORE_BINS * 2 rows
     hist = np.zeros((2, SCORE_BINS))
     for r in counts:
         hist[1, r["bin"]] += r["count"]
         hist[0, r["bin"]] += r["count"] * r["positive"]
     model = Model(edges).fit(pos, unl, class_prior(hist[0], hist[1]))
-    return _scored(table, model).select(F.col("id").alias(id_col), "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return _scored(table.withColumn("half", F.lit(0)), [model]).select(F.col("id").alias(id_col), "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -348,3 +348,12 @@ def test_prior_and_quality(spark, odd, none):
     assert quality_classifier.quality_scores(odd, labels).count() == odd.count()
     assert quality_classifier.quality_scores(odd, labels.where("false")).count() == odd.count()
     assert quality_classifier.quality_scores(none, labels).count() == 0
+
+
+def test_hashes_of_long_texts(monkeypatch):
+    from tidewire.llm import common
+
+    text = (" ".join("ab é\n" * 50) + " " + "y" * 3000 + "\tz ").encode()
+    want = word_hashes(text)
+    monkeypatch.setattr(common, "_TABLE", 1000)
+    assert all((a == b).all() for a, b in zip(want, word_hashes(text), strict=True))

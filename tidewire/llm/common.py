@@ -83,31 +83,65 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def _powers(n: int, base: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+_BASE = 0x9E3779B97F4A7C15
+_UNBASE = pow(_BASE, -1, 1 << 64)
+#: Bytes of a text up to which powers are held in tables (two of 8 bytes a place).
+_TABLE = 1 << 21
+_POWERS: dict[int, np.ndarray] = {}
 
 
-_BASE, _POW = 0x9E3779B97F4A7C15 | 1, {"p": np.ones(1, np.uint64)}
+def _powers(base: int, n: int) -> np.ndarray:
+    """At least n powers of an odd base modulo 2 ** 64, kept and doubled as longer texts come."""
+    got = _POWERS.get(base)
+    if got is None or len(got) < n:
+        out = np.full(1 << max(12, (n - 1).bit_length()), base, np.uint64)
+        out[0] = 1
+        got = _POWERS[base] = np.multiply.accumulate(out)
+    return got
 
 
 def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """64-bit hashes, first bytes and ends of the whitespace words of a UTF-8 text."""
+    """64-bit hashes, first bytes and ends of the whitespace words of a UTF-8 text.
+
+    A word's bytes, turned to random numbers, are the digits of a number in an odd base modulo 2 ** 64: a difference of
+    running sums over the text, moved back to the first place by the base's inverse power.
+    """
     raw = np.frombuffer(text, np.uint8)
     inside = ~_SPACE[raw]
-    edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    if len(raw) and inside[0]:
+        edge = np.append(0, edge)
+    if len(raw) and inside[-1]:
+        edge = np.append(edge, len(raw))
     start, stop = edge[::2], edge[1::2]
     if not len(start):
         return np.empty(0, np.uint64), start, stop
-    longest = int((stop - start).max())
-    if len(_POW["p"]) < longest:
-        _POW["p"] = _powers(max(longest, 256), _BASE)
-    # Each byte is mixed by a table, weighted by its place in the word, and summed by word.
-    place = np.arange(len(raw)) - np.repeat(np.append(0, start), np.diff(np.concatenate(([0], start, [len(raw)]))))
-    value = _BYTE[raw] * _POW["p"][np.minimum(np.maximum(place, 0), longest - 1)]
-    value[~inside] = 0
-    return mix(np.add.reduceat(value, start) + (stop - start).astype(np.uint64)), start, stop
+    if len(raw) <= _TABLE:
+        sums = np.cumsum(_BYTE[raw] * _powers(_BASE, len(raw))[: len(raw)])
+        total = (sums[stop - 1] - np.where(start > 0, sums[start - 1], np.uint64(0))) * _powers(_UNBASE, len(raw))[start]
+    else:  # by parts of whole words, and words by themselves if they are longer than that
+        total, at = np.empty(len(start), np.uint64), 0
+        while at < len(start):
+            to = max(at + 1, int(np.searchsorted(stop, start[at] + _TABLE, "right")))
+            part = _BYTE[raw[start[at] : stop[to - 1]]]
+            part[~inside[start[at] : stop[to - 1]]] = 0
+            if to > at + 1 or len(part) <= _TABLE:
+                sums = np.append(np.uint64(0), np.cumsum(part * _powers(_BASE, len(part))[: len(part)]))
+                total[at:to] = (sums[stop[at:to] - start[at]] - sums[start[at:to] - start[at]]) * _powers(_UNBASE, len(part))[start[at:to] - start[at]]
+            else:
+                total[at] = _long_word(part)
+            at = to
+    return mix(total + (stop - start).astype(np.uint64)), start, stop
+
+
+def _long_word(digits: np.ndarray) -> np.uint64:
+    total, scale = np.uint64(0), 1
+    for i in range(0, len(digits), _TABLE):
+        part = digits[i : i + _TABLE]
+        with np.errstate(over="ignore"):
+            total = total + (part * _powers(_BASE, len(part))[: len(part)]).sum(dtype=np.uint64) * np.uint64(scale)
+        scale = scale * pow(_BASE, len(part), 1 << 64) % (1 << 64)
+    return total
 
 
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))

@@ -16,12 +16,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import fragments as fr
-from .common import checkpointed, combine, mix, row_key, small_or_shuffled, text_batches, word_hashes
+from .common import BROADCAST_ROWS, checkpointed, combine, mix, row_key, small_or_shuffled, text_batches, word_hashes
 from .jaccard_join import linked_components
 
 SHINGLE = 5
-#: Bands of one MinHash each: at a similarity of 0.8 two paragraphs collide in one of 4 with probability 0.998.
-BANDS = 4
+#: Bands of two MinHashes each: at a similarity of 0.8 two paragraphs collide in one of 6 with probability 0.998.
+BANDS, ROWS = 6, 2
+#: Paragraphs of fewer shingles than this can't be 80 % similar to others without being equal, so they are not banded.
+LEAST_SHINGLES = 4
 _ENDS = np.isin(np.arange(256), list(b".!?"))
 
 
@@ -39,24 +41,36 @@ def paragraphs(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return h, first, np.diff(np.append(first, len(h)))
 
 
-def _hashed(text: str | None, least: int):
-    """First words, lengths and 64-bit hashes of paragraphs of ``least`` words or more, with the 5-word shingles of each."""
+def _units(text: str | None, least: int):
+    """Word hashes, each word's paragraph, and paragraphs' first words, lengths, 64-bit hashes and whether they have ``least`` words."""
     h, first, n = paragraphs(text)
     ok = n >= least
     if not ok.any():
         return None
     owner = np.repeat(np.arange(len(n)), n)
-    place = np.arange(len(h)) - first[owner]
-    u = mix(np.add.reduceat(mix(h + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), first) + n.astype(np.uint64))
+    place = (np.arange(len(h)) - first[owner]).astype(np.uint64)
+    u = mix(np.add.reduceat(mix(h + place * np.uint64(0x9E3779B97F4A7C15)), first) + n.astype(np.uint64)).view(np.int64)
+    return h, owner, first, n, u, ok
+
+
+def _shingles(text: str | None, least: int):
+    """Hashes of paragraphs with LEAST_SHINGLES shingles or more, and their distinct shingles with the number of each's paragraph, in order."""
+    if (x := _units(text, least)) is None:
+        return None
+    h, owner, _, n, u, ok = x
+    ok = ok & (n >= SHINGLE - 1 + LEAST_SHINGLES)
+    if not ok.any():
+        return None
     five = combine(h, SHINGLE)
     inside = (owner[: len(five)] == owner[SHINGLE - 1 : SHINGLE - 1 + len(five)]) & ok[owner[: len(five)]]
-    return first[ok], n[ok], u[ok].view(np.int64), five[inside], np.searchsorted(np.flatnonzero(ok), owner[: len(five)][inside])
+    return u[ok], five[inside], (np.cumsum(ok) - 1)[owner[: len(five)][inside]]
 
 
 def _bands(five: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """(paragraphs, BANDS) MinHash keys; every paragraph has a shingle."""
+    """(paragraphs, BANDS) keys of ROWS MinHashes each; every paragraph has a shingle."""
     first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
-    return np.stack([mix(np.minimum.reduceat(mix(five ^ np.uint64(0xD6E8FEB86659FD93 * (b + 1) & (1 << 64) - 1)), first) + np.uint64(b)) for b in range(BANDS)], 1)
+    least = [np.minimum.reduceat((five ^ np.uint64(0xD6E8FEB86659FD93 * (k + 1) & (1 << 64) - 1)) * np.uint64(0xC4CEB9FE1A85EC53 * (2 * k + 1) & (1 << 64) - 1), first) for k in range(BANDS * ROWS)]
+    return np.stack([mix(mix(least[2 * b]) + np.uint64(3) * least[2 * b + 1] + np.uint64(b)) for b in range(BANDS)], 1)
 
 
 def repeated_paragraphs(docs: DataFrame, percent: int = 80, min_words: int = 6, min_run: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -78,36 +92,53 @@ def repeated_paragraphs(docs: DataFrame, percent: int = 80, min_words: int = 6,
         def rows() -> Iterator[tuple[np.ndarray, np.ndarray]]:
             for batch in text_batches(batches):
                 for t in batch.column("text").to_pylist():
-                    if (x := _hashed(t, least)) is not None:
-                        yield np.repeat(x[2], BANDS), _bands(x[3], x[4]).ravel()
+                    if (x := _shingles(t, least)) is not None:
+                        yield np.repeat(x[0], BANDS), _bands(x[1], x[2]).ravel()
 
         yield from fr.send(rows(), bits)
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches):
-            found = [(k, i, x) for k, i, t in zip(*(batch.column(c).to_pylist() for c in ("key", "id", "text")), strict=True) if (x := _hashed(t, least)) is not None]
-            if found:
-                n = [len(x[0]) for _, _, x in found]
-                cols = [np.repeat([k for k, _, _ in found], n), None, *(np.concatenate([x[j] for _, _, x in found]) for j in range(3))]
-                ids = pa.array([i for _, i, _ in found], pa.int64()).take(pa.array(np.repeat(np.arange(len(found)), n)))
-                yield pa.RecordBatch.from_arrays([ids if c is None else pa.array(c.astype(np.int64)) for c in cols], ["key", "id", "start", "n", "u"])
-
-    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_batches(batches):
-            for t in batch.column("text").to_pylist():
-                if (x := _hashed(t, least)) is not None:
-                    ends = np.searchsorted(x[4], np.arange(len(x[2]) + 1))
-                    sets = [np.unique(x[3][a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            found = [_units(t, least) for t in batch.column("text").to_pylist()]
+            n = np.array([0 if x is None else int(x[5].sum()) for x in found])
+            if n.any():
+                at = pa.array(np.repeat(np.arange(len(n)), n))
+                cols = [pa.array(np.concatenate([x[j][x[5]] for x in found if x is not None]).astype(np.int64)) for j in (2, 3, 4)]
+                yield pa.RecordBatch.from_arrays([batch.column("key").take(at), batch.column("id").take(at), *cols], ["key", "id", "start", "n", "u"])
+
+    def shingled(wanted) -> object:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            few = None if wanted is None else wanted.value
+            for batch in text_batches(batches):
+                for t in batch.column("text").to_pylist():
+                    if (x := _shingles(t, least)) is None:
+                        continue
+                    u, five, owner = x
+                    if few is not None:
+                        ok = few[np.minimum(np.searchsorted(few, u), len(few) - 1)] == u
+                        if not ok.any():
+                            continue
+                        u, five, owner = u[ok], five[ok[owner]], (np.cumsum(ok) - 1)[owner[ok[owner]]]
+                    bands = _bands(five, owner)
+                    order = np.lexsort((five, owner))
+                    five, owner = five[order], owner[order]
+                    once = np.append(True, (five[1:] != five[:-1]) | (owner[1:] != owner[:-1]))
+                    five, owner = five[once], owner[once]
+                    ends = np.searchsorted(owner, np.arange(len(u) + 1)).astype(np.int32)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(x[2]), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array(list(_bands(x[3], x[4]).view(np.int64)), pa.list_(pa.int64()))],
+                        [pa.array(u), pa.array(np.diff(ends).astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(five.view(np.int64))), pa.ListArray.from_arrays(pa.array(np.arange(len(u) + 1, dtype=np.int32) * BANDS), pa.array(bands.view(np.int64).ravel()))],
                         ["sig", "n", "h", "bands"],
                     )
 
-    units = source.mapInArrow(occurrences, "key long, id long, start long, n long, u long")
-    # Near copies: paragraphs that share a band with a different one.
+        return run
+
+    units = checkpointed(source.mapInArrow(occurrences, "key long, id long, start long, n long, u long"))
+    # Near copies: paragraphs that share a band with a different one. Few of them are told to the tasks that read the texts again.
     met = checkpointed(fr.shared_counts(source.select("text").mapInArrow(sent, fr.SCHEMA), 1 << bits).select(F.col("owner").alias("sig")))
-    near = source.select("text").mapInArrow(shingled, "sig long, n long, h array<long>, bands array<long>").join(small_or_shuffled(met), "sig").dropDuplicates(["sig"])
-    near = checkpointed(near)
+    count = met.count()
+    wanted = docs.sparkSession.sparkContext.broadcast(np.sort(met.toPandas()["sig"].to_numpy(np.int64))) if 0 < count <= BROADCAST_ROWS else None
+    near = source.select("text").where(F.lit(count > 0)).mapInArrow(shingled(wanted), "sig long, n long, h array<long>, bands array<long>")
+    near = checkpointed((near if wanted is not None else near.join(met.hint("merge"), "sig")).dropDuplicates(["sig"]))
     linked = linked_components(near.select("sig", "n", "h"), near.select("sig", F.explode("bands").alias("t")), percent)
     linked = checkpointed(linked.select(F.col("node").alias("u"), F.col("component").alias("root")))
 

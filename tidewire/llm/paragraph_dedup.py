@@ -1,6 +1,6 @@
 """Substring deduplication by paragraph MinHash banding.
 
-A text's paragraphs are its stretches between line ends and sentence ends. Distinct paragraphs are banded by MinHash
+A text's paragraphs are its stretches between line ends and sentence ends, very long ones cut further. Distinct paragraphs are banded by MinHash
 over 5-word shingles; those that collide are verified by exact Jaccard similarity and clustered by components. Clusters
 that occur in several documents make runs of repeated text; all occurrences but a cluster's first are removed.
 """
@@ -24,6 +24,8 @@ SHINGLE = 5
 BANDS, ROWS = 6, 2
 #: Paragraphs of fewer shingles than this can't be 80 % similar to others without being equal, so they are not banded.
 LEAST_SHINGLES = 4
+#: Paragraphs of more words than LONG are cut behind one word in CUT.
+LONG, CUT = 64, 16
 _ENDS = np.isin(np.arange(256), list(b".!?"))
 
 
@@ -38,7 +40,13 @@ def paragraphs(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     last = _ENDS[data[stop - 1]]
     new = np.append(True, last[:-1] | (np.diff(lines) > 0))
     first = np.flatnonzero(new)
-    return h, first, np.diff(np.append(first, len(h)))
+    n = np.diff(np.append(first, len(h)))
+    if (n > LONG).any():
+        # Text without line or sentence ends is cut behind words that their hashes choose, alike wherever it stands.
+        new[1:] |= (h[:-1] % np.uint64(CUT) == 0) & np.repeat(n > LONG, n)[:-1]
+        first = np.flatnonzero(new)
+        n = np.diff(np.append(first, len(h)))
+    return h, first, n
 
 
 def _units(text: str | None, least: int):

@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 #: Rows of ids up to which a side counts as small enough to broadcast (two long columns: at most about 32 MB).
 BROADCAST_ROWS = 1_000_000
 
+#: Bytes of an Arrow batch of texts.
+ARROW_BYTES = 8 << 20
+
 WHITE = " \\t\\n\\u000B\\f\\r"
 SPACES = "[\\x20\\x09-\\x0D]+"
 
@@ -22,6 +25,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def to_python(df: DataFrame) -> DataFrame:
+    """``df``, with the session's Arrow batches held to ARROW_BYTES: texts are long, and JVM and worker each hold a batch."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) > ARROW_BYTES:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+    return df
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the folder that the session names, or in a folder of our own where none is named."""
     sc = df.sparkSession.sparkContext

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import fragments as fr
-from .common import checkpointed, mix, row_key, shingle_hashes, small_or_shuffled, text_batches
+from .common import checkpointed, mix, row_key, shingle_hashes, small_or_shuffled, text_batches, to_python
 from .components import components
 
 #: Texts and shingles that a block may hold.
@@ -144,7 +144,7 @@ def jaccard_join(docs: DataFrame, percent: int = 90, shingle: int = 3, id_col: s
     that repeat an id are texts of their own that share the id; rows with a null id get the least non-null id they
     reach, else null. Equal sets are one node, so copies are never paired. Sets are compared by 64-bit hashes.
     """
-    source = docs.select(F.col(id_col).cast("long").alias("id"), row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
+    source = to_python(docs.select(F.col(id_col).cast("long").alias("id"), row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text")))
     meta = checkpointed(shingle_sets(source, shingle, False))
     total = meta.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     count = fr.n_fragments(total, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, text_batches
+from .common import mix, text_batches, to_python
 
 #: An n-gram belongs to a language if it makes up this share of the language's n-grams at least: at most 1 / MIN_SHARE
 #: n-grams of each language reach the driver.
@@ -100,7 +100,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Fi
                 code, n = np.unique(codes[owner == lang], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code), pa.string()), pa.array(code.view(np.int64)), pa.array(n, pa.int64())], ["lang", "code", "n"])
 
-    source = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
+    source = to_python(docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null"))
     # Counts are kept by language in rows of few columns; shares of a language and of an n-gram's best language choose.
     counts = source.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     counts = counts.persist()
@@ -124,7 +124,7 @@ def language_id(docs: DataFrame, learned: Column, id_col: str = "doc_id", text_c
     get equal results.
     """
     filters = docs.sparkSession.sparkContext.broadcast(learn(docs.where(learned), text_col, lang_col))  # at most MIN_SHARE's bound a language
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    source = to_python(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
     kind = source.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import fragments as fr
-from .common import BROADCAST_ROWS, checkpointed, combine, mix, row_key, small_or_shuffled, text_batches, word_hashes
+from .common import BROADCAST_ROWS, checkpointed, combine, mix, row_key, small_or_shuffled, text_batches, to_python, word_hashes
 from .jaccard_join import linked_components
 
 SHINGLE = 5
@@ -93,7 +93,7 @@ def repeated_paragraphs(docs: DataFrame, percent: int = 80, min_words: int = 6,
     have zeros and empty arrays. Rows that repeat id and text are one occurrence and share a result. Ids are integers.
     """
     least = max(min_words, SHINGLE)
-    source = docs.select(F.col(id_col).cast("long").alias("id"), row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
+    source = to_python(docs.select(F.col(id_col).cast("long").alias("id"), row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text")))
     bits = int(math.log2(fr.n_fragments(0, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,14 +21,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_batches
+from .common import text_batches, to_python
 
 MARK = "▁"
 _WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 _LINE_WORD = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
 _MARKS = "!#$%&*,.:;?|"
 #: Words and pairs of pieces that a worker remembers.
-CACHE_WORDS, CACHE_PAIRS = 500_000, 400_000
+CACHE_WORDS, CACHE_PAIRS = 300_000, 250_000
 
 
 @dataclass
@@ -236,13 +236,13 @@ def encode(docs: DataFrame, model: PieceModel, text_col: str = "text", out_col:
     are taken for spaces. A column named ``out_col`` is replaced.
     """
     shared = _broadcast(docs, model)
-    source = docs.drop(out_col)
+    source = to_python(docs.drop(out_col))
     names = source.columns
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = _encoder(shared)
-        for batch in text_batches((b.rename_columns(["text" if i == at else f"c{i}" for i in range(len(names))]) for b in batches), 8 << 20):
+        for batch in text_batches((b.rename_columns(["text" if i == at else f"c{i}" for i in range(len(names))]) for b in batches), 4 << 20):
             yield pa.RecordBatch.from_arrays([*batch.columns, e.encode_array(batch.column("text"))], [*names, out_col])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields)
@@ -252,7 +252,7 @@ def encode(docs: DataFrame, model: PieceModel, text_col: str = "text", out_col:
 def decode(encoded: DataFrame, model: PieceModel, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """All columns and ``out_col``: the text of the piece ids; null for null. A column named ``out_col`` is replaced."""
     shared = _broadcast(encoded, model)
-    source = encoded.drop(out_col)
+    source = to_python(encoded.drop(out_col))
     names = source.columns
     at = names.index(ids_col)
 
@@ -272,12 +272,12 @@ def round_trip(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_
     Null texts have null results. ``same`` is false only where the text itself holds word marks, which decode to spaces.
     """
     shared = _broadcast(docs, model)
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    source = to_python(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
     kind = source.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = _encoder(shared)
-        for batch in text_batches(batches, 8 << 20):
+        for batch in text_batches(batches, 4 << 20):
             texts = batch.column("text").to_pylist()
             ids = [x.values.to_numpy() if x.is_valid else None for x in e.encode_array(batch.column("text"))]
             same = [None if t is None else e.decode(i) == t for t, i in zip(texts, ids, strict=True)]

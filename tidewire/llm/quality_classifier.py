@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, combine, text_batches, word_hashes
+from .common import checkpointed, combine, text_batches, to_python, word_hashes
 
 #: Rows of each kind that a fit takes at most, by the order of a hash of their ids.
 MAX_FIT_ROWS = 20_000
@@ -159,7 +159,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int
     by zero features. Without positives every score is the prior's upper bound 0.99. Repeated rows get equal results;
     of repeated labels an id is positive if any is 1.
     """
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    source = to_python(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
     source = source.withColumn("held_out", F.coalesce(F.crc32(F.col("id").cast("string")) % folds == fold, F.lit(False)))
     trusted = labels.where(F.col(label_col) == 1).select(F.col(id_col).alias("id")).distinct().withColumn("positive", F.lit(True))
     kind = source.schema["id"].dataType.simpleString()

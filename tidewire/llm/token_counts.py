@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_batches
+from .common import text_batches, to_python
 
 #: Fixed value: the pattern that cuts texts before the merges of byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -40,7 +40,7 @@ def encoding(ranks: bytes, pattern: str = PATTERN):
 def token_lengths(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens) of every row; null texts have 0 tokens; strings of special tokens in a text are ordinary text."""
     shared = _ranks(docs, ranks_path)
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    source = to_python(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
     kind = source.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,7 +70,7 @@ def length_histogram(docs: DataFrame, ranks_path: str, text_col: str = "text") -
             length, n = np.unique(np.array(_lengths(e, batch), np.int64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(length), pa.array(n, pa.int64())], ["n_tokens", "n_docs"])
 
-    parts = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "n_tokens long, n_docs long")
+    parts = to_python(docs.select(F.col(text_col).alias("text"))).mapInArrow(run, "n_tokens long, n_docs long")
     return parts.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
 
 

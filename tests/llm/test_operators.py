@@ -8,18 +8,12 @@ import re
 import numpy as np
 import pytest
 from odd_texts import ODD
+from plain import plain_components, plain_contamination, plain_statistics, plain_url
 from pyspark.sql import functions as F
 
 from tidewire.llm import components, decontaminate, fragments, jaccard_join, language_id, paragraph_dedup, pii, quality_classifier, quality_rules, queries, token_counts, url_filter
 from tidewire.llm.common import shingle_hashes, word_hashes
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-
-
-def lower(t):
-    return re.sub("[A-Z]", lambda m: m.group().lower(), t)
-
-
 def docs_of(spark, texts):
     return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
 
@@ -31,18 +25,6 @@ def prose(rng, n, words=400):
 
 # ---- URL filter
 
-def plain_url(url, rules):
-    if url is None or "://" not in url:
-        host = path = ""
-    else:
-        rest = url.split("://", 1)[1]
-        host = lower(re.match("[^/?#]*", rest).group())
-        path = re.match("[^?#]*", rest[len(re.match("[^/?#]*", rest).group()) :]).group()
-    fits = [(h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
-    rule = max(fits, key=lambda r: len(r[0]), default=(None, "allow"))
-    return host, path, *rule
-
-
 @pytest.mark.parametrize("parts", [1, 3, 16])
 def test_url_filter(spark, parts):
     hosts = ["example.com", "WWW.example.com", "a.www.example.com", "xexample.com", "b.net", "net", "example.com.", "com", "b.org", "", "a.example.com:80"]
@@ -58,15 +40,6 @@ def test_url_filter(spark, parts):
 
 # ---- quality rules
 
-def plain_statistics(t):
-    t = t or ""
-    w = WORD.findall(t)
-    tri = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
-    covered = {i + k for i, x in enumerate(tri) if tri.count(x) > 1 for k in range(3)} if len(w) < 2000 else None
-    lines = [x for x in t.split("\n") if WORD.search(x)]
-    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), None if covered is None else len(covered)
-
-
 def test_quality_statistics(spark, odd, none):
     rng = random.Random(1)
     texts = ODD + ["a b c a b c", "a a a a", "x y z", "p q r s p q r t p q r"] + [prose(rng, n, 12) for n in (5, 60, 300)]
@@ -74,7 +47,7 @@ def test_quality_statistics(spark, odd, none):
     for t, r in zip(texts, got, strict=True):
         want = plain_statistics(t)
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"]) == want[:4]
-        assert want[4] is None or r["n_repeat_words"] == want[4]
+        assert r["n_repeat_words"] == want[4]
         assert r["base_failed"] == (r["n_words"] < 50 or 2 * r["n_repeat_words"] > r["n_words"])
     judged = quality_rules.quality_rules(odd)
     assert judged.count() == odd.count() and [c for c in judged.columns if c == "kept"] == ["kept"]
@@ -99,20 +72,6 @@ def test_clean_text_loses_failing_lines(spark):
 
 # ---- n-gram Jaccard join
 
-def plain_components(texts, percent=90, n=3):
-    sets = []
-    for t in texts:
-        w = WORD.findall(lower(t or ""))
-        sets.append({tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set())
-    name = list(range(len(texts)))
-    for a, b in itertools.combinations(range(len(texts)), 2):
-        both = len(sets[a] & sets[b])
-        if both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
-            x, y = sorted((name[a], name[b]))
-            name = [x if c == y else c for c in name]
-    return [(i, len(s), c) for i, (s, c) in enumerate(zip(sets, name, strict=True))]
-
-
 def copies(rng, base, k, changes):
     out = []
     for _ in range(k):
@@ -170,30 +129,6 @@ def test_hashes_tell_words_apart():
 
 # ---- decontamination
 
-ITEM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-
-
-def plain_contamination(texts, items):
-    grams = {}
-    for i, t in items:
-        w = ITEM.findall(lower(t or ""))
-        n = min(13, len(w))
-        for k in range(len(w) - n + 1 if w else 0):
-            grams.setdefault(tuple(w[k : k + n]), set()).add(i)
-    sizes = {len(g) for g in grams}
-    out = []
-    for t in texts:
-        w = ITEM.findall(lower(t or ""))
-        hit, found = set(), set()
-        for n in sizes:
-            for k in range(len(w) - n + 1):
-                if (g := grams.get(tuple(w[k : k + n]))) is not None:
-                    hit |= set(range(k, k + n))
-                    found |= g
-        out.append((len(w), len(hit), len(found), ",".join(sorted(map(str, found))), bool(hit) and 20 * len(hit) >= len(w)))
-    return out
-
-
 def test_contamination(spark, odd, none):
     rng = random.Random(4)
     items = [(i, prose(rng, n, 60)) for i, n in enumerate([40, 13, 14, 30, 12, 5, 3, 1, 60, 26])] + [(20, None), (21, ""), (22, "the same words " * 9)]

@@ -5,10 +5,10 @@ import os
 import duckdb
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
+from plain import plain_components, plain_contamination, plain_quality
 
 import corpus_pipeline
-from tidewire.llm import pieces
+from tidewire.llm.quality_rules import BOILERPLATE
 from tidewire.llm.queries import ORACLE_SQL, PIECES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -26,17 +26,33 @@ def test_query_equals_sql(spark, name):
     pd.testing.assert_frame_equal(ours, theirs, check_dtype=False)
 
 
-def test_pipeline(spark, odd):
-    """Stages keep what their operators keep, and the last one's ids decode to the text before it."""
-    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(120)
-    clean = corpus_pipeline.clean_lines(spark, docs, SF)
-    assert clean.columns == corpus_pipeline.COLUMNS and 0 < clean.count() < 120
-    for _, stage in corpus_pipeline.STAGES:
-        assert stage(spark, odd.select(*corpus_pipeline.COLUMNS), SF).count() <= odd.count()
-    result = corpus_pipeline.run(spark, SF).cache()
-    ids = [r["doc_id"] for r in result.collect()]
-    assert len(ids) == len(set(ids))
-    joined = QUERIES["op4_ngram_jaccard"](spark, SF)
-    assert joined.where("doc_id <> component_id").join(result, "doc_id").count() <= joined.where("doc_id <> component_id").count()
-    model = pieces.PieceModel.load(PIECES)
-    assert pieces.decode(result, model).where(F.col("decoded") != F.col("text")).count() == 0
+def test_pipeline_against_plain_python(spark):
+    """All stages by plain Python and the library, but for the pseudonyms' values."""
+    import sentencepiece
+
+    docs = pd.read_parquet(f"{SF}/documents.parquet").sort_values("doc_id")
+    bench = pd.read_parquet(f"{SF}/benchmark.parquet")
+    kept = [(i, c) for i, t in zip(docs.doc_id, docs.text, strict=True) for c, ok in [plain_quality(t, BOILERPLATE)] if ok]
+    firsts = [kept[i] for i, _, c in plain_components([t for _, t in kept]) if i == c]
+    dirty = plain_contamination([t for _, t in firsts], list(zip(bench.item_id, bench.text, strict=True)))
+    want = [i for (i, _), x in zip(firsts, dirty, strict=True) if not x[-1]]
+    texts = dict(firsts)
+    got = corpus_pipeline.run(spark, SF).toPandas().sort_values("doc_id")
+    assert got.doc_id.tolist() == want
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    changed = 0
+    for r in got.itertuples():
+        assert list(r.ids) == sp.encode(r.text) and r.n_tokens == len(r.ids)
+        assert len(r.text.split(" ")) == len(texts[r.doc_id].split(" "))
+        changed += r.text != texts[r.doc_id]
+    found = sum(any(c.isdigit() for c in texts[i]) for i in want)
+    assert 0 < changed <= found
+
+
+def test_stages_take_odd_rows(spark, odd):
+    docs = odd.select(*corpus_pipeline.COLUMNS)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        assert out.count() <= odd.count()
+        assert name == "SentencePiece encoding" or out.columns == corpus_pipeline.COLUMNS
+        assert stage(spark, docs.where("false"), SF).count() == 0

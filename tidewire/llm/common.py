@@ -17,7 +17,6 @@ BROADCAST_ROWS = 1_000_000
 #: Bytes of an Arrow batch of texts.
 ARROW_BYTES = 8 << 20
 
-WHITE = " \\t\\n\\u000B\\f\\r"
 SPACES = "[\\x20\\x09-\\x0D]+"
 
 

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import release
+
 #: Keys of one fragment that a task is to hold, about; the number of fragments follows the number of keys.
 KEYS_PER_FRAGMENT = 2_000_000
 #: Keys that a task gathers before it sends them on.
@@ -152,6 +154,7 @@ def shared_counts(sent: DataFrame, fragments: int) -> DataFrame:
                 else:
                     held.append(unpack(raw))
         yield from done()
+        release()
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [_counts_of(x.as_py()) for batch in batches for x in batch.column("payload")]

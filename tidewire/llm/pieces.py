@@ -28,7 +28,7 @@ _WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 _LINE_WORD = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
 _MARKS = "!#$%&*,.:;?|"
 #: Words and pairs of pieces that a worker remembers.
-CACHE_WORDS, CACHE_PAIRS = 300_000, 250_000
+CACHE_WORDS, CACHE_PAIRS = 200_000, 230_000
 
 
 @dataclass
@@ -64,7 +64,7 @@ class Encoder:
         self.words: dict[str, tuple[int, ...]] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
         #: Pieces that the merges make of their own characters.
-        self.good = {p for p in self.ids if not model.bpe or self.merged(p) == [p]}
+        self.good = {p: p for p in self.ids if not model.bpe or self.merged(p) == [p]}
         # A line end that no longer piece holds is a border too.
         self.border = _WORD if any("\n" in p and len(p) > 1 for p in self.good) else _LINE_WORD
         # Marks that stand behind no letter or digit in any piece are borders there: no merge crosses them.
@@ -117,8 +117,10 @@ class Encoder:
                 start = end - longest if end > longest else 0
                 if self.m.bpe:
                     while True:
-                        piece = word[start:end]
-                        if piece in good or start == end - 1:
+                        piece = good.get(word[start:end])
+                        if piece is None and start == end - 1:
+                            piece = word[start:end]
+                        if piece is not None:
                             if start == 0:
                                 break
                             ok = pairs.get((last[start - 1], piece))

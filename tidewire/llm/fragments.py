@@ -53,7 +53,8 @@ def split(owners: np.ndarray, keys: np.ndarray, bits: int) -> Iterator[tuple[int
     if not len(keys):
         return
     fragment = (keys >> np.uint64(64 - bits)).astype(np.int64)
-    order = np.lexsort((owners, fragment))
+    order = np.argsort(owners)
+    order = order[np.argsort(fragment[order].astype(np.uint16) if bits <= 16 else fragment[order], kind="stable")]
     owners, keys, fragment = owners[order], keys[order], fragment[order]
     edges = np.flatnonzero(np.diff(fragment, prepend=-1, append=1 << 40))
     for a, b in zip(edges[:-1], edges[1:], strict=True):
@@ -79,8 +80,12 @@ def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _distinct(owners: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Entries sorted by key and owner, once each."""
-    order = np.lexsort((owners, keys))
+    order = np.argsort(keys)
     owners, keys = owners[order], keys[order]
+    again = np.flatnonzero(keys[1:] == keys[:-1])
+    if len(again):  # only keys that come again need their owners in order
+        at = np.unique(np.concatenate([again, again + 1]))
+        owners[at] = owners[at][np.lexsort((owners[at], keys[at]))]
     once = np.append(True, (owners[1:] != owners[:-1]) | (keys[1:] != keys[:-1])) if len(keys) else np.empty(0, bool)
     return owners[once], keys[once]
 

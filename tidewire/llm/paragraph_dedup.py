@@ -77,7 +77,8 @@ def _shingles(text: str | None, least: int):
 def _bands(five: np.ndarray, owner: np.ndarray) -> np.ndarray:
     """(paragraphs, BANDS) keys of ROWS MinHashes each; every paragraph has a shingle."""
     first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
-    least = [np.minimum.reduceat((five ^ np.uint64(0xD6E8FEB86659FD93 * (k + 1) & (1 << 64) - 1)) * np.uint64(0xC4CEB9FE1A85EC53 * (2 * k + 1) & (1 << 64) - 1), first) for k in range(BANDS * ROWS)]
+    # Shingle hashes are random numbers; an odd factor puts them in another order.
+    least = [np.minimum.reduceat(five * np.uint64((0xC4CEB9FE1A85EC53 * (2 * k + 1)) & (1 << 64) - 1), first) for k in range(BANDS * ROWS)]
     return np.stack([mix(mix(least[2 * b]) + np.uint64(3) * least[2 * b + 1] + np.uint64(b)) for b in range(BANDS)], 1)
 
 
@@ -118,25 +119,28 @@ def repeated_paragraphs(docs: DataFrame, percent: int = 80, min_words: int = 6,
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             few = None if wanted is None else wanted.value
             for batch in text_batches(batches):
-                for t in batch.column("text").to_pylist():
-                    if (x := _shingles(t, least)) is None:
+                # All texts of a batch are put together: paragraphs are numbered on from text to text.
+                found = [x for t in batch.column("text").to_pylist() if (x := _shingles(t, least)) is not None]
+                if not found:
+                    continue
+                base = np.cumsum([0] + [len(x[0]) for x in found])
+                u, five = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
+                owner = np.concatenate([x[2] + b for x, b in zip(found, base, strict=False)])
+                if few is not None:
+                    ok = few[np.minimum(np.searchsorted(few, u), len(few) - 1)] == u
+                    if not ok.any():
                         continue
-                    u, five, owner = x
-                    if few is not None:
-                        ok = few[np.minimum(np.searchsorted(few, u), len(few) - 1)] == u
-                        if not ok.any():
-                            continue
-                        u, five, owner = u[ok], five[ok[owner]], (np.cumsum(ok) - 1)[owner[ok[owner]]]
-                    bands = _bands(five, owner)
-                    order = np.lexsort((five, owner))
-                    five, owner = five[order], owner[order]
-                    once = np.append(True, (five[1:] != five[:-1]) | (owner[1:] != owner[:-1]))
-                    five, owner = five[once], owner[once]
-                    ends = np.searchsorted(owner, np.arange(len(u) + 1)).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(u), pa.array(np.diff(ends).astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(five.view(np.int64))), pa.ListArray.from_arrays(pa.array(np.arange(len(u) + 1, dtype=np.int32) * BANDS), pa.array(bands.view(np.int64).ravel()))],
-                        ["sig", "n", "h", "bands"],
-                    )
+                    u, five, owner = u[ok], five[ok[owner]], (np.cumsum(ok) - 1)[owner[ok[owner]]]
+                bands = _bands(five, owner)
+                order = np.lexsort((five, owner))
+                five, owner = five[order], owner[order]
+                once = np.append(True, (five[1:] != five[:-1]) | (owner[1:] != owner[:-1]))
+                five, owner = five[once], owner[once]
+                ends = np.searchsorted(owner, np.arange(len(u) + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(u), pa.array(np.diff(ends).astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(five.view(np.int64))), pa.ListArray.from_arrays(pa.array(np.arange(len(u) + 1, dtype=np.int32) * BANDS), pa.array(bands.view(np.int64).ravel()))],
+                    ["sig", "n", "h", "bands"],
+                )
 
         return run
 

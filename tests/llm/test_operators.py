@@ -242,6 +242,63 @@ def test_near_paragraphs_cluster(spark):
     assert [r[i]["n_removed"] for i in range(3)] == [0, 1, 0] and r[1]["component_ids"] == [0]
 
 
+def plain_passages(texts, n=51):
+    """Words of each text in runs of n words that another text holds too, and those in runs that no earlier text holds."""
+    where = {}
+    split = [(t or "").lower().split() for t in texts]
+    for i, w in enumerate(split):
+        for k in range(len(w) - n + 1):
+            where.setdefault(tuple(w[k : k + n]), []).append((i, k))
+    covered, kept = [set() for _ in texts], [set() for _ in texts]
+    for places in where.values():
+        if len({i for i, _ in places}) > 1:
+            for i, k in places:
+                covered[i] |= set(range(k, k + n))
+            kept[places[0][0]] |= set(range(places[0][1], places[0][1] + n))
+    return covered, kept
+
+
+def check_passages(spark, texts):
+    """Every word of a passage of 51 words that another text holds is in a run, and removed but for the first one."""
+    covered, kept = plain_passages(texts)
+    got = {r["doc_id"]: r for r in paragraph_dedup.repeated_paragraphs(docs_of(spark, texts)).collect()}
+    for i in range(len(texts)):
+        removed = {k for s in got[i]["removed_spans"] for k in range(s["start"], s["stop"])}
+        assert covered[i] - kept[i] <= removed and got[i]["repeated_words"] >= len(covered[i]) and len(removed) == got[i]["removed_words"]
+        assert got[i]["n_repeated"] > 0 or not covered[i]
+    return got
+
+
+def plain_words(rng, n):
+    return ["".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(n)]
+
+
+def lines(rng, words, least, most, end):
+    out = []
+    while words:
+        k = rng.randint(least, most)
+        out.append(" ".join(words[:k]) + end)
+        words = words[k:]
+    return "".join(out)
+
+
+def test_passages_of_short_lines_repeat(spark, monkeypatch):
+    monkeypatch.setattr(fragments, "KEYS_PER_PAYLOAD", 40)  # many payloads
+    rng = random.Random(9)
+    own = lambda n: lines(rng, plain_words(rng, n), 3, 9, ". ")
+    verse = lines(rng, plain_words(rng, 51), 2, 5, "\n")
+    broken = ". ".join(" ".join(plain_words(rng, k)) for k in (15, 3, 3, 15, 3, 3, 15)) + ". "
+    texts = [own(60) + "cut " + verse + own(40), verse + own(10), own(30) + broken + own(5), own(7) + "in the middle " + broken]
+    cut = [lines(rng, plain_words(rng, rng.randint(51, 90)), 2, 30, ".\n").split(" ") for _ in range(12)]
+    for _ in range(40):  # passages that begin and end inside other sentences, some of them several in a text
+        texts.append(own(rng.randint(0, 60)) + "".join("so " + " ".join(rng.choice(cut)) + " then " + own(rng.randint(1, 40)) for _ in range(rng.randint(1, 3))))
+    texts += [texts[0], None, "", "word " * 300, "word " * 70]
+    got = check_passages(spark, texts)
+    assert [got[i]["n_removed"] > 0 for i in range(4)] == [False, True, False, True] and got[1]["component_ids"] == [0] and got[3]["component_ids"] == [2]
+    assert got[3]["removed_words"] == 57
+    assert got[1]["removed_spans"][0]["start"] == 0 and got[1]["removed_spans"][-1]["stop"] == 51
+
+
 # ---- classifiers
 
 def test_language_id(spark, odd, none):

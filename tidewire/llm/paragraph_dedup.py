@@ -2,7 +2,8 @@
 
 A text's paragraphs are its stretches between line ends and sentence ends, very long ones cut further. Distinct paragraphs are banded by MinHash
 over 5-word shingles; those that collide are verified by exact Jaccard similarity and clustered by components. Clusters
-that occur in several documents make runs of repeated text; all occurrences but a cluster's first are removed.
+that occur in several documents make runs of repeated text; all occurrences but a cluster's first are removed. Passages
+of over 50 words that several documents hold word by word count wherever they begin and however their lines are cut.
 """
 
 from __future__ import annotations
@@ -12,11 +13,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import fragments as fr
-from .common import BROADCAST_ROWS, checkpointed, combine, mix, row_key, small_or_shuffled, text_batches, to_python, word_hashes
+from . import passages
+from .common import BROADCAST_ROWS, checkpointed, combine, mix, release, row_key, small_or_shuffled, text_batches, to_python, word_hashes
 from .jaccard_join import linked_components
 
 SHINGLE = 5
@@ -50,8 +52,11 @@ def paragraphs(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _units(text: str | None, least: int):
+    return _units_of(*paragraphs(text), least)
+
+
+def _units_of(h: np.ndarray, first: np.ndarray, n: np.ndarray, least: int):
     """Word hashes, each word's paragraph, and paragraphs' first words, lengths, 64-bit hashes and whether they have ``least`` words."""
-    h, first, n = paragraphs(text)
     ok = n >= least
     if not ok.any():
         return None
@@ -82,14 +87,84 @@ def _bands(five: np.ndarray, owner: np.ndarray) -> np.ndarray:
     return np.stack([mix(mix(least[2 * b]) + np.uint64(3) * least[2 * b + 1] + np.uint64(b)) for b in range(BANDS)], 1)
 
 
+#: Kinds of pieces, beside those of passages: a paragraph that is its cluster's first, and another.
+FIRST, LATER = 0, 1
+_RESULT = "key long, n_repeated long, n_removed long, repeated_words long, removed_words long, component_ids array<long>, removed_spans array<struct<start:long,stop:long>>"
+_SPAN = pa.struct([("start", pa.int64()), ("stop", pa.int64())])
+
+
+def _merged(start: np.ndarray, stop: np.ndarray, kind: np.ndarray, keeper: np.ndarray, min_words: int, min_run: int) -> tuple | None:
+    """A row's results: paragraphs, and the stretches of exact passages beside them, are its pieces; of a cluster's first paragraph, words of earlier passages go."""
+    unit = np.flatnonzero(kind <= LATER)
+    size = int(stop.max())
+    label = np.full(size, -1)
+    exact, gone = np.zeros(size, bool), np.zeros(size, bool)
+    for i in np.flatnonzero(kind == passages.COVERED):
+        exact[start[i] : stop[i]] = True
+    for i in np.flatnonzero(kind == passages.REMOVED):
+        gone[start[i] : stop[i]] = True
+    label[exact] = -2
+    label[gone] = -3
+    for i in unit:
+        inside = label[start[i] : stop[i]]
+        inside[...] = i if kind[i] == LATER else np.where(inside == -3, -3, i)
+    edge = np.flatnonzero(np.append(True, label[1:] != label[:-1]))
+    end = np.append(edge[1:], size)
+    piece = label[edge] != -1
+    edge, end, what = edge[piece], end[piece], label[edge[piece]]
+    run = np.cumsum(np.append(True, edge[1:] - end[:-1] >= min_words)) - 1
+    ok = np.bincount(run, end - edge)[run] >= min_run
+    if not ok.any():
+        return None
+    edge, end, what = edge[ok], end[ok], what[ok]
+    removed = (what == -3) | (what >= 0) & (kind[what] == LATER)
+    ids = set(keeper[what[what >= 0]].tolist())
+    if exact[edge].any() or (what < 0).any():
+        ids |= set(keeper[kind == passages.KEEPER].tolist())
+    words = end - edge
+    taken = [{"start": int(a), "stop": int(b)} for a, b in zip(edge[removed], end[removed], strict=True)]
+    return len(edge), int(removed.sum()), int(words.sum()), int(words[removed].sum()), sorted(ids - {passages.NO_ID}), taken
+
+
+def _by_row(min_words: int, min_run: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pieces come in order of their rows' keys; the last key of a batch waits for the next one."""
+        rest: list[np.ndarray] | None = None
+
+        def results(cols: list[np.ndarray]) -> pa.RecordBatch:
+            first, length = fr.runs(cols[0])
+            out = [(int(cols[0][a]), *x) for a, k in zip(first, length, strict=True) if (x := _merged(*(c[a : a + k] for c in cols[1:]), min_words, min_run)) is not None]
+            types = [pa.int64()] * 5 + [pa.list_(pa.int64()), pa.list_(_SPAN)]
+            names = ["key", "n_repeated", "n_removed", "repeated_words", "removed_words", "component_ids", "removed_spans"]
+            return pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], t) for j, t in enumerate(types)], names)
+
+        for batch in batches:
+            cols = [batch.column(c).fill_null(passages.NO_ID).to_numpy(zero_copy_only=False) if c == "keeper" else batch.column(c).to_numpy() for c in ("key", "start", "stop", "kind", "keeper")]
+            if rest is not None:
+                cols = [np.concatenate(x) for x in zip(rest, cols, strict=True)]
+            if not len(cols[0]):
+                continue
+            last = int(np.searchsorted(cols[0], cols[0][-1]))
+            rest = [c[last:].copy() for c in cols]
+            if last:
+                yield results([c[:last] for c in cols])
+        if rest is not None:
+            yield results(rest)
+        release()
+
+    return run
+
+
 def repeated_paragraphs(docs: DataFrame, percent: int = 80, min_words: int = 6, min_run: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_repeated, n_removed, repeated_words, removed_words, component_ids, removed_spans) of every row.
 
     Paragraphs of at least ``min_words`` words (5 at least) are compared: equal ones, and those whose 5-word shingle
     sets have a Jaccard similarity of ``percent`` % or more, cluster. A cluster counts if it occurs in several rows.
-    Repeated paragraphs that follow each other with less than ``min_words`` words between are a run; runs of fewer
-    than ``min_run`` words (licence lines, set phrases) are left alone. ``n_repeated``: paragraphs in runs;
-    ``n_removed``: those that are not their cluster's first occurrence by (id, row, place); ``component_ids``: ids of
+    Every passage of passages.WINDOW words that several rows hold word by word counts too, from its first to its last
+    word; pieces are repeated paragraphs, and the stretches of such passages beside them. Pieces that follow each
+    other with less than ``min_words`` words between are a run; runs of fewer than ``min_run`` words (licence lines,
+    set phrases) are left alone. ``n_repeated``: pieces in runs; ``n_removed``: those that are not their cluster's or
+    passage's first occurrence by (id, row, place); ``component_ids``: ids of
     the first occurrences' rows, sorted; ``removed_spans``: (start, stop) in words. Null, empty and unrepeated texts
     have zeros and empty arrays. Rows that repeat id and text are one occurrence and share a result. Ids are integers.
     """
@@ -97,6 +172,10 @@ def repeated_paragraphs(docs: DataFrame, percent: int = 80, min_words: int = 6,
     source = to_python(docs.select(F.col(id_col).cast("long").alias("id"), row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text")))
     bits = int(math.log2(fr.n_fragments(0, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
 
+    # A word is about 6 bytes, one in 16 begins an anchor.
+    size = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    anchor_bits = int(math.log2(fr.n_fragments(size // 96, 16)))
+
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple[np.ndarray, np.ndarray]]:
             for batch in text_batches(batches):
@@ -107,13 +186,42 @@ def repeated_paragraphs(docs: DataFrame, percent: int = 80, min_words: int = 6,
         yield from fr.send(rows(), bits)
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of paragraphs, and payloads of anchors."""
+        names = ["key", "id", "start", "n", "u", "fragment", "payload"]
+        sender = passages.Sender(anchor_bits)
+
+        def anchored() -> pa.RecordBatch:
+            fragment, payload = sender.payloads()
+            return pa.RecordBatch.from_arrays([*(pa.nulls(len(payload), pa.int64()) for _ in range(5)), pa.array(fragment, pa.int32()), pa.array(payload, pa.binary())], names)
+
         for batch in text_batches(batches):
-            found = [_units(t, least) for t in batch.column("text").to_pylist()]
+            found = []
+            for t, key, id in zip(batch.column("text").to_pylist(), batch.column("key").to_pylist(), batch.column("id").to_pylist(), strict=True):
+                x = paragraphs(t)
+                found.append(_units_of(*x, least))
+                at, g = passages.anchors(x[0])
+                g, once = np.unique(g, return_index=True)
+                if sender.add(key, id, at[once], g):
+                    yield anchored()
             n = np.array([0 if x is None else int(x[5].sum()) for x in found])
             if n.any():
                 at = pa.array(np.repeat(np.arange(len(n)), n))
                 cols = [pa.array(np.concatenate([x[j][x[5]] for x in found if x is not None]).astype(np.int64)) for j in (2, 3, 4)]
-                yield pa.RecordBatch.from_arrays([batch.column("key").take(at), batch.column("id").take(at), *cols], ["key", "id", "start", "n", "u"])
+                yield pa.RecordBatch.from_arrays([batch.column("key").take(at), batch.column("id").take(at), *cols, pa.nulls(len(at), pa.int32()), pa.nulls(len(at), pa.binary())], names)
+        yield anchored()
+
+    def windowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sender = passages.Sender(window_bits)
+
+        def sent_on() -> pa.RecordBatch:
+            fragment, payload = sender.payloads()
+            return pa.RecordBatch.from_arrays([pa.array(fragment, pa.int32()), pa.array(payload, pa.binary())], ["fragment", "payload"])
+
+        for batch in text_batches(batches):
+            for t, key, id, hits in zip(*(batch.column(c).to_pylist() for c in ("text", "key", "id", "hits")), strict=True):
+                if sender.add(key, id, *passages.windows(paragraphs(t)[0], np.array(hits, np.int64))):
+                    yield sent_on()
+        yield sent_on()
 
     def shingled(wanted) -> object:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +252,14 @@ def repeated_paragraphs(docs: DataFrame, percent: int = 80, min_words: int = 6,
 
         return run
 
-    units = checkpointed(source.mapInArrow(occurrences, "key long, id long, start long, n long, u long"))
+    both = checkpointed(source.mapInArrow(occurrences, "key long, id long, start long, n long, u long, fragment int, payload binary"))
+    units = both.where("payload is null").select("key", "id", "start", "n", "u")
+    # Exact passages: texts that share an anchor with another row are read again, and their windows around it compared.
+    hits = checkpointed(passages.repeated(both.where("payload is not null").select("fragment", "payload"), 1 << anchor_bits, passages.hit_rows, "key long, hits array<int>"))
+    told_hits = hits.agg(F.coalesce(F.sum(F.size("hits") + 1), F.lit(0))).first()[0]
+    window_bits = int(math.log2(fr.n_fragments(20 * told_hits, 16)))
+    anchored = source.join(F.broadcast(hits) if told_hits <= BROADCAST_ROWS else hits.hint("merge"), "key")
+    exact = passages.repeated(anchored.select("key", "id", "text", "hits").mapInArrow(windowed, fr.SCHEMA), 1 << window_bits, passages.span_rows, passages.SPANS)
     # Near copies: paragraphs that share a band with a different one. Few of them are told to the tasks that read the texts again.
     met = checkpointed(fr.shared_counts(source.select("text").mapInArrow(sent, fr.SCHEMA), 1 << bits).select(F.col("owner").alias("sig")))
     count = met.count()
@@ -163,17 +278,8 @@ def repeated_paragraphs(docs: DataFrame, percent: int = 80, min_words: int = 6,
     told = checkpointed(clusters.select("u", "root").join(whole.select("root", "first"), "root").select("u", F.col("first.id").alias("keeper"), F.col("first.key").alias("keeper_key"), F.col("first.start").alias("keeper_start")))
 
     placed = units.join(small_or_shuffled(told), "u").select("key", "start", (F.col("start") + F.col("n")).alias("stop"), "n", "keeper", ((F.col("key") == F.col("keeper_key")) & (F.col("start") == F.col("keeper_start"))).alias("first")).distinct()
-    order = Window.partitionBy("key").orderBy("start")
-    runs = placed.withColumn("gap", F.col("start") - F.lag("stop").over(order)).withColumn("run", F.sum(F.when(F.col("gap") < min_words, 0).otherwise(1)).over(order))
-    sized = runs.withColumn("words", F.sum("n").over(Window.partitionBy("key", "run"))).where(F.col("words") >= min_run)
-    removed = ~F.col("first")
-    by_row = checkpointed(
-        sized.groupBy("key").agg(
-            F.count("*").alias("n_repeated"), F.count(F.when(removed, 1)).alias("n_removed"), F.sum("n").alias("repeated_words"),
-            F.coalesce(F.sum(F.when(removed, F.col("n"))), F.lit(0)).cast("long").alias("removed_words"), F.sort_array(F.collect_set("keeper")).alias("component_ids"),
-            F.sort_array(F.collect_set(F.when(removed, F.struct("start", "stop")))).alias("removed_spans"),
-        )
-    )
+    pieces = placed.select("key", "start", "stop", F.when(F.col("first"), FIRST).otherwise(LATER).alias("kind"), "keeper").unionByName(exact)
+    by_row = checkpointed(pieces.repartition("key").sortWithinPartitions("key").mapInArrow(_by_row(min_words, min_run), _RESULT))
     joined = source.select("id", "key").join(by_row, "key", "left")
     zero = F.lit(0).cast("long")
     return joined.select(

@@ -299,6 +299,19 @@ def test_passages_of_short_lines_repeat(spark, monkeypatch):
     assert got[1]["removed_spans"][0]["start"] == 0 and got[1]["removed_spans"][-1]["stop"] == 51
 
 
+def test_passages_without_sentence_ends_repeat(spark):
+    rng = random.Random(10)
+    own = lambda n: " ".join(plain_words(rng, n))
+    passage = own(55)
+    texts = [f"{own(3)} {passage}", f"{own(15)} {passage}"]  # stretches of 58 words, not cut, and of 70, cut
+    for n in (51, 60, 80):
+        for _ in range(15):
+            passage = own(n)
+            texts += [f"{own(rng.randint(0, 90))} {passage} {own(rng.randint(0, 90))}" for _ in range(2)]
+    got = check_passages(spark, texts)
+    assert all(got[i]["n_removed"] > 0 and got[i]["component_ids"] == [i - 1] for i in range(1, len(texts), 2))
+
+
 # ---- classifiers
 
 def test_language_id(spark, odd, none):

@@ -199,8 +199,8 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     ``pii_found`` is replaced.
     """
     text = F.col(text_col)
-    # Texts without a digit, @ or sign of a secret can hold no value and are passed on unsplit.
-    suspect = text.rlike("[0-9@]|(?i)(?:password|passwd|pwd|token|secret|key) {0,3}[=:]")
+    # Texts without a digit, @, head of a cloud key or sign of a secret can hold no value and are passed on unsplit.
+    suspect = text.rlike("[0-9@]|AKIA|ASIA|(?i)(?:password|passwd|pwd|token|secret|key) {0,3}[=:]")
     found = F.when(suspect, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
     others = [c for c in docs.columns if c.lower() != "pii_found"]
     staged = (

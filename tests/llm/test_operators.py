@@ -4,15 +4,17 @@ import datetime
 import itertools
 import random
 import re
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from odd_texts import ODD
 from plain import plain_components, plain_contamination, plain_statistics, plain_url
 from pyspark.sql import functions as F
 
-from tidewire.llm import components, decontaminate, fragments, jaccard_join, language_id, paragraph_dedup, pii, quality_classifier, quality_rules, queries, token_counts, url_filter
-from tidewire.llm.common import shingle_hashes, word_hashes
+from tidewire.llm import components, decontaminate, fragments, jaccard_join, language_id, links, paragraph_dedup, pii, quality_classifier, quality_rules, queries, token_counts, url_filter
+from tidewire.llm.common import Sets, Words, distinct_sets, mix, word_hashes
 
 def docs_of(spark, texts):
     return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -83,8 +85,8 @@ def copies(rng, base, k, changes):
 
 
 def test_jaccard_join(spark, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "BLOCK_TEXTS", 5)  # several blocks and fragments
-    monkeypatch.setattr(jaccard_join, "FRAGMENT_KEYS", 64)
+    monkeypatch.setattr(links, "BLOCK", 5)  # several blocks and fragments
+    monkeypatch.setattr(jaccard_join, "FRAGMENTS", 16)
     monkeypatch.setattr(fragments, "KEYS_PER_PAYLOAD", 900)
     rng = random.Random(3)
     base = prose(rng, 200)
@@ -106,12 +108,33 @@ def test_jaccard_join_odd(odd, none):
     assert jaccard_join.jaccard_join(none).count() == 0
 
 
-def test_overlaps_by_fragments(monkeypatch):
-    monkeypatch.setattr(jaccard_join, "FRAGMENT_KEYS", 7)
+def test_overlaps_by_fragments(spark):
     rng = np.random.default_rng(0)
-    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50))) for _ in range(12)]
-    got = jaccard_join.overlaps(np.concatenate(sets), np.repeat(np.arange(12), [len(s) for s in sets]), 12)
-    assert all(got[a, b] == len(np.intersect1d(sets[a], sets[b])) for a, b in itertools.combinations(range(12), 2))
+    some = mix(np.arange(60, dtype=np.uint64))
+    owner, size = np.arange(12), rng.integers(1, 50, 12)
+    chosen = [rng.choice(some, n, replace=False) for n in size]
+    s = distinct_sets(np.concatenate(chosen), np.repeat(owner, size), 12)
+    cut = links.parts(s, 8).to_pylist()
+    assert [sorted(chain.from_iterable(x)) for x in cut] == [sorted(np.unique(x).view(np.int64).tolist()) for x in chosen]
+    assert all((np.array(x, np.int64).view(np.uint64) >> np.uint64(61) == f).all() for one in cut for f, x in enumerate(one))
+    sets = spark.createDataFrame([(i, x) for i, x in enumerate(cut)], "sig long, parts array<array<long>>")
+    both = {(a, b): len(np.intersect1d(chosen[a], chosen[b])) for a, b in itertools.combinations(range(12), 2)}
+    pairs = spark.createDataFrame([(a, b, int(size[a] + size[b])) for a, b in both], "a long, b long, both long")
+    for percent in (10, 30, 50):
+        got = {tuple(r) for r in links.verified(pairs, sets, percent).collect()}
+        assert got == {(a, b) for (a, b), k in both.items() if k and 100 * k >= percent * (size[a] + size[b] - k)}
+
+
+def test_bounds_exclude_no_link(spark):
+    rng = np.random.default_rng(1)
+    base = mix(np.arange(400, dtype=np.uint64))
+    chosen = [np.unique(np.append(rng.choice(base, 400 - int(k), replace=False), mix(rng.integers(0, 1 << 60, int(j)).astype(np.uint64)))) for k, j in rng.integers(0, 60, (60, 2))]
+    s = distinct_sets(np.concatenate(chosen), np.repeat(np.arange(60), [len(x) for x in chosen]), 60)
+    rows = zip(range(60), [len(x) for x in chosen], [len(x) for x in chosen], *(x.to_pylist() for x in links.parities(s)), strict=True)
+    facts = spark.createDataFrame([tuple(map(int, r)) for r in rows], "sig long, n long, rest long, b0 long, b1 long, b2 long, b3 long").select(F.struct(*links.FACTS).alias("s"))
+    may = {tuple(r) for r in facts.select(F.col("s").alias("x")).crossJoin(facts.select(F.col("s").alias("y"))).where((F.col("x.sig") < F.col("y.sig")) & links.may_link("x", "y", 80)).select("x.sig", "y.sig").collect()}
+    link = {(a, b) for a, b in itertools.combinations(range(60), 2) if 100 * (k := len(np.intersect1d(chosen[a], chosen[b]))) >= 80 * (len(chosen[a]) + len(chosen[b]) - k)}
+    assert link and link <= may and len(may) < 60 * 59 // 2
 
 
 def test_components(spark):
@@ -123,8 +146,14 @@ def test_components(spark):
 def test_hashes_tell_words_apart():
     h, start, stop = word_hashes("aa ab aa\tb\x0ba a é".encode())
     assert len(h) == 7 and len(set(h.tolist())) == 5 and h[0] == h[2] and stop[0] - start[0] == 2
-    assert len(shingle_hashes("a b", 3)) == 1 and len(shingle_hashes("", 3)) == 0 and len(shingle_hashes(None, 3)) == 0
-    assert (shingle_hashes("A b C d", 3) == shingle_hashes("a B  c\nd", 3)).all()
+    texts = ["a b", "", None, "A b C d", "a B  c\nd", "b", "a b a b a b a", " d"]
+    s = Sets.of(Words.of(pa.array(["cut off"] + texts).slice(1)), 3)
+    assert np.diff(s.before).tolist() == [1, 0, 0, 2, 2, 1, 2, 1]
+    of = lambda i: s.hashes[s.before[i] : s.before[i + 1]].tolist()
+    assert of(3) == of(4) and len(set(s.hashes.tolist())) == 7
+    w = Words.of(pa.array(texts))
+    alone = [word_hashes((t or "").lower().encode())[0].tolist() for t in texts]
+    assert w.hashes.tolist() == sum(alone, []) and np.diff(w.before).tolist() == [len(x) for x in alone]
 
 
 # ---- decontamination
@@ -291,7 +320,7 @@ def lines(rng, words, least, most, end):
 
 
 def test_passages_of_short_lines_repeat(spark, monkeypatch):
-    monkeypatch.setattr(fragments, "KEYS_PER_PAYLOAD", 40)  # many payloads
+    monkeypatch.setattr(fragments, "ENTRIES_PER_PAYLOAD", 40)  # many payloads
     rng = random.Random(9)
     own = lambda n: lines(rng, plain_words(rng, n), 3, 9, ". ")
     verse = lines(rng, plain_words(rng, 51), 2, 5, "\n")
@@ -320,6 +349,54 @@ def test_passages_without_sentence_ends_repeat(spark):
     assert all(got[i]["n_removed"] > 0 and got[i]["component_ids"] == [i - 1] for i in range(1, len(texts), 2))
 
 
+@pytest.mark.parametrize(("common", "own"), [(8, 1), (40, 5), (160, 20), (34, 3), (54, 3)])  # similarities of 0.8, 0.85 and 0.9
+def test_bands_catch_similar_paragraphs(common, own):
+    rng, pairs = np.random.default_rng(common), 6000
+    both = rng.integers(0, 1 << 63, (pairs, common)).astype(np.uint64)
+    sides = [mix(np.concatenate([both, rng.integers(0, 1 << 63, (pairs, own)).astype(np.uint64)], 1)) for _ in range(2)]
+    a, b = (paragraph_dedup.bands(x.ravel(), np.repeat(np.arange(pairs), common + own)) for x in sides)
+    assert (a == b).any(1).mean() >= 0.995
+
+
+def plain_paragraphs(text):
+    """Paragraphs of 6 words and more of a text without long ones: lower-case words up to a sentence's or line's end."""
+    found = [x.lower().split() for x in re.split(r"(?<=[.!?])[ \n]+|\n", text)]
+    return [tuple(x) for x in found if len(x) >= 6]
+
+
+def test_paragraph_clusters_by_brute_force(spark):
+    rng = random.Random(12)
+    bases = [plain_words(rng, 24) for _ in range(6)]
+    texts = []
+    for i in range(60):
+        mine = []
+        for b in rng.sample(bases, 2):
+            w = list(b)
+            for _ in range(rng.choice([0, 0, 1, 1, 2])):
+                w[rng.choice([0, 1, -1, -2, rng.randrange(24)])] = f"new{rng.randrange(10**6)}"
+            mine.append(" ".join(w))
+        texts.append(". ".join([" ".join(plain_words(rng, 9)), *mine, " ".join(plain_words(rng, 30))]) + ".")
+    units = sorted({p for t in texts for p in plain_paragraphs(t)})
+    sets = [{p[i : i + 5] for i in range(len(p) - 4)} for p in units]
+    name = list(range(len(units)))
+    for a, b in itertools.combinations(range(len(units)), 2):
+        k = len(sets[a] & sets[b])
+        if min(len(sets[a]), len(sets[b])) >= 4 and 100 * k >= 80 * (len(sets[a]) + len(sets[b]) - k):
+            x, y = sorted((name[a], name[b]))
+            name = [x if c == y else c for c in name]
+    of = dict(zip(units, name, strict=True))
+    first = {}
+    for i, t in enumerate(texts):
+        for p in plain_paragraphs(t):
+            first.setdefault(of[p], i)
+    many = {c for c in first if sum(any(of[p] == c for p in plain_paragraphs(t)) for t in texts) > 1}
+    got = {r["doc_id"]: r for r in paragraph_dedup.repeated_paragraphs(docs_of(spark, texts)).collect()}
+    # The two longer paragraphs of each text stand side by side, so a run has 24 words at least.
+    want = [sorted({first[of[p]] for p in plain_paragraphs(t) if of[p] in many}) for t in texts]
+    assert sum(map(len, want)) > 80 and [got[i]["component_ids"] for i in range(len(texts))] == want
+    assert [got[i]["n_removed"] for i in range(len(texts))] == [sum(of[p] in many and first[of[p]] != i for p in plain_paragraphs(t)) for i, t in enumerate(texts)]
+
+
 # ---- classifiers
 
 def test_language_id(spark, odd, none):

@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, ascii_lower, checkpointed, row_key, small_or_shuffled
+from .common import ascii_lower, checkpointed, row_key, small_or_shuffled
 
+BROADCAST_ROWS = 1_000_000
 WINDOW, GRAM = 13, 5
 #: Grams that a winnowing window spans: GRAM + SPAN - 1 == WINDOW.
 SPAN = WINDOW - GRAM + 1
@@ -126,7 +127,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     hits = checkpointed(merged.select("key", total["n"].alias("n_hit"), "items"))
     counted = marks.select("id", "key", "n_words")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
-    return counted.join(small_or_shuffled(hits, BROADCAST_ROWS // 20), "key", "left").select(
+    return counted.join(small_or_shuffled(hits), "key", "left").select(
         F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
         ((n_hit > 0) & (n_hit * (1 / min_share) >= F.col("n_words"))).alias("contaminated"),

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,8 @@ from .common import release
 
 #: Keys of one fragment that a task is to hold, about; the number of fragments follows the number of keys.
 KEYS_PER_FRAGMENT = 2_000_000
+#: Partitions that fragments are dealt to at most; a task takes its fragments one after the other.
+MOST_PARTITIONS = 1 << 14
 #: Keys that a task gathers before it sends them on.
 KEYS_PER_PAYLOAD = 1_500_000
 #: Owner of keys that several rows of one payload share: it stands for all of them.
@@ -124,13 +127,27 @@ def send(rows: Iterator[tuple[np.ndarray, np.ndarray]], bits: int) -> Iterator[p
         yield flush()
 
 
+def by_fragment(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
+    """The payloads of one fragment after the other."""
+    now, held = None, []
+    for batch in batches:
+        for f, payload in zip(batch.column("fragment").to_pylist(), batch.column("payload"), strict=True):
+            if f != now and held:
+                yield held
+                held = []
+            now = f
+            held.append(payload.as_py())
+    if held:
+        yield held
+
+
 def shared_counts(sent: DataFrame, fragments: int) -> DataFrame:
     """(owner, n): how many keys of each owner another owner holds too, counted by fragment and summed.
 
     Partial counts travel as payloads too, dealt by the owner's low bits; there are no more of them than keys.
     """
 
-    def dealt(who: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    def shared_out(who: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         share = who & (fragments - 1)
         order = np.argsort(share, kind="stable")
         who, n, share = who[order], n[order], share[order]
@@ -146,7 +163,7 @@ def shared_counts(sent: DataFrame, fragments: int) -> DataFrame:
                 held.clear()
                 length = runs(key)[1]
                 own = own[np.repeat(length > 1, length)]
-                yield dealt(*np.unique(own[own != SHARED], return_counts=True))
+                yield shared_out(*np.unique(own[own != SHARED], return_counts=True))
 
         for batch in batches:
             for f, payload in zip(batch.column("fragment").to_pylist(), batch.column("payload"), strict=True):
@@ -155,18 +172,204 @@ def shared_counts(sent: DataFrame, fragments: int) -> DataFrame:
                     now = f
                 raw = payload.as_py()
                 if (x := _counts_of(raw)) is not None:
-                    yield dealt(*x)
+                    yield shared_out(*x)
                 else:
                     held.append(unpack(raw))
         yield from done()
         release()
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [_counts_of(x.as_py()) for batch in batches for x in batch.column("payload")]
-        if parts:
+        for held in by_fragment(batches):
+            parts = [_counts_of(x) for x in held]
             who, at = np.unique(np.concatenate([x[0] for x in parts]), return_inverse=True)
             n = np.bincount(at, np.concatenate([x[1] for x in parts]), len(who)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(who, pa.int64()), pa.array(n, pa.int64())], ["owner", "n"])
+        release()
+
+    return dealt(dealt(sent, fragments).mapInArrow(count, SCHEMA), fragments).mapInArrow(add_up, "owner long, n long")
+
+
+def partitions(fragments: int) -> int:
+    return min(fragments, MOST_PARTITIONS)
+
+
+def dealt(sent: DataFrame, fragments: int) -> DataFrame:
+    """Payloads by partitions, and by fragment within them."""
+    return sent.repartitionById(partitions(fragments), (F.col("fragment") % partitions(fragments)).cast("int")).sortWithinPartitions("fragment")
+
+
+#: Kinds of entries that meet: anchors of different rows, equal paragraphs, different paragraphs in one band.
+HIT, UNIT, BAND = 0, 1, 2
+#: Entries that are known to meet before they reach their fragment.
+DONE = 4
+#: Of a HIT: the row and place. Of a UNIT: also its hash (a) and number of words (b). Of a BAND: also its key (a).
+MET = "kind int, key long, id long, place int, a long, b int"
+_NAMES = ["kind", "key", "id", "place", "a", "b"]
+#: Entries that a task gathers before it sends them on.
+ENTRIES_PER_PAYLOAD = 1_000_000
+_FLAG = np.uint32(1 << 31)
+_48 = np.uint64((1 << 48) - 1)
+
+
+def _six(x: np.ndarray) -> bytes:
+    return x.astype(np.uint64).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _from_six(raw: bytes, n: int, at: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8, 6 * n, at).reshape(n, 6)
+    return out.view(np.uint64).ravel()
+
+
+@dataclass
+class Entries:
+    """Entries of rows: keys and ids of rows; row, place, 48-bit hash and 48 bits more of each entry, and whether it stands for entries known to meet.
+
+    The 48 bits more are the low 16 bits of the hash over 32 bits of words for a UNIT, and 48 bits of the paragraph's hash for a BAND.
+    """
+
+    kind: int
+    keys: np.ndarray
+    ids: np.ndarray
+    row: np.ndarray
+    place: np.ndarray
+    hash: np.ndarray
+    more: np.ndarray
+    flag: np.ndarray
+
+    @staticmethod
+    def of(kind: int, keys: np.ndarray, ids: np.ndarray, row: np.ndarray, place: np.ndarray, hashes: np.ndarray, more: np.ndarray | None = None) -> Entries:
+        """From 64-bit hashes. more: words of a UNIT, hash of the paragraph of a BAND."""
+        more = np.zeros(len(row), np.uint64) if more is None else more.astype(np.uint64)
+        if kind == UNIT:
+            more = (hashes & np.uint64(0xFFFF)) << np.uint64(32) | more
+        return Entries(kind, keys, ids, row, place.astype(np.uint32), hashes >> np.uint64(16), more & _48, np.zeros(len(row), bool))
+
+    def take(self, at: np.ndarray, flag: np.ndarray | None = None) -> Entries:
+        return Entries(self.kind, self.keys, self.ids, self.row[at], self.place[at], self.hash[at], self.more[at], self.flag[at] if flag is None else flag)
+
+    @staticmethod
+    def joined(parts: list[Entries]) -> Entries:
+        base = np.cumsum([0] + [len(x.keys) for x in parts])
+        cols = [np.concatenate([getattr(x, c) for x in parts]) for c in ("keys", "ids", "place", "hash", "more", "flag")]
+        row = np.concatenate([x.row + b for x, b in zip(parts, base, strict=False)])
+        # Rows of one key are one.
+        keys, first, same = np.unique(cols[0], return_index=True, return_inverse=True)
+        return Entries(parts[0].kind, keys, cols[1][first], same[row], *cols[2:])
+
+    def meet(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Order by hash, starts and lengths of runs of equal hashes, and whether different ones meet in a run, here or before."""
+        who = self.row.astype(np.int64) if self.kind == HIT else self.more.astype(np.int64) if self.kind == BAND else self.row.astype(np.int64) << 32 | self.place.astype(np.int64)
+        full = self.whole() if self.kind == UNIT else self.hash
+        order = np.argsort(full)
+        start, length = runs(full[order])
+        if not len(start):
+            return order, start, length, np.empty(0, bool)
+        who = who[order]
+        return order, start, length, (np.minimum.reduceat(who, start) != np.maximum.reduceat(who, start)) | np.maximum.reduceat(self.flag[order], start)
+
+    def whole(self) -> np.ndarray:
+        return self.hash << np.uint64(16) | self.more >> np.uint64(32)
+
+    def settled(self) -> tuple[Entries, Entries]:
+        """Entries that go on, one for each run (flagged where different ones meet), and those known to meet."""
+        order, start, length, several = self.meet()
+        return self.take(order[start], several), self.take(order[np.repeat(several, length)])
+
+    def packed(self, fragment: np.ndarray, kind: int) -> Iterator[tuple[int, bytes]]:
+        order = np.lexsort((self.row, fragment))
+        e, fragment = self.take(order), fragment[order]
+        first, length = runs(fragment)
+        for a, k in zip(first, length, strict=True):
+            b = a + k
+            r, n = runs(e.row[a:b])
+            own = e.row[a:b][r]
+            ids = self.ids[own].tobytes() if self.kind == UNIT else b""
+            more = _six(e.more[a:b]) if self.kind != HIT else b""
+            place = e.place[a:b] | np.where(e.flag[a:b], _FLAG, np.uint32(0))
+            yield int(fragment[a]), struct.pack("<III", kind, len(own), k) + self.keys[own].tobytes() + ids + n.astype(np.uint32).tobytes() + place.tobytes() + _six(e.hash[a:b]) + more
+
+    @staticmethod
+    def unpacked(raw: bytes) -> tuple[Entries, bool]:
+        """Entries of a payload, and whether they are known to meet."""
+        kind, rows, n = struct.unpack_from("<III", raw)
+        done, kind, at = bool(kind & DONE), kind & 3, 12
+        keys = np.frombuffer(raw, np.int64, rows, at)
+        at += 8 * rows
+        ids = np.frombuffer(raw, np.int64, rows, at) if kind == UNIT else np.zeros(rows, np.int64)
+        at += 8 * rows * (kind == UNIT)
+        row = np.repeat(np.arange(rows), np.frombuffer(raw, np.uint32, rows, at))
+        at += 4 * rows
+        place = np.frombuffer(raw, np.uint32, n, at)
+        at += 4 * n
+        more = _from_six(raw, n, at + 6 * n) if kind != HIT else np.zeros(n, np.uint64)
+        return Entries(kind, keys, ids, row, place & ~_FLAG, _from_six(raw, n, at), more, place >= _FLAG), done
+
+    def batch(self) -> pa.RecordBatch:
+        n = len(self.row)
+        a = self.whole() if self.kind == UNIT else self.hash
+        words = (self.more & np.uint64(0xFFFFFFFF)).astype(np.int32) if self.kind == UNIT else np.zeros(n, np.int32)
+        ids = self.ids[self.row]
+        cols = [pa.array(np.full(n, self.kind, np.int32)), pa.array(self.keys[self.row]), pa.array(ids, mask=ids == NO_ID), pa.array(self.place.astype(np.int32)), pa.array(a.view(np.int64)), pa.array(words)]
+        return pa.RecordBatch.from_arrays(cols, _NAMES)
+
+
+#: Stands for a null id, which comes first in order.
+NO_ID = -(1 << 63)
+
+
+class Gatherer:
+    """Gathers entries of one kind, and sends them to the fragments of their hashes."""
+
+    def __init__(self, kind: int, bits: int):
+        self.kind, self.bits, self.held, self.size = kind, bits, [], 0
+
+    def add(self, *entries) -> Iterator[tuple[int, bytes]]:
+        e = Entries.of(self.kind, *entries)
+        if len(e.row):
+            self.held.append(e)
+            self.size += len(e.row)
+        if self.size >= ENTRIES_PER_PAYLOAD:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[tuple[int, bytes]]:
+        if self.held:
+            on, done = Entries.joined(self.held).settled()
+            self.held, self.size = [], 0
+            yield from on.packed((on.hash >> np.uint64(48 - self.bits)).astype(np.int64), self.kind)
+            yield from done.packed(done.keys[done.row] & ((1 << self.bits) - 1), self.kind | DONE)
+
+
+def payloads(found: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int32()), pa.array([x[1] for x in found], pa.binary())], ["fragment", "payload"])
+
+
+def met(sent: DataFrame, fragments: int) -> DataFrame:
+    """MET rows of all entries that meet different ones, in their task or in their fragment; an entry may come more than once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, {}
+
+        def done() -> Iterator[pa.RecordBatch]:
+            for parts in held.values():
+                e = Entries.joined(parts)
+                order, _, length, several = e.meet()
+                at = order[np.repeat(several, length)]
+                if len(at := at[~e.flag[at]]):
+                    yield e.take(at).batch()
+            held.clear()
+
+        for batch in batches:
+            for f, payload in zip(batch.column("fragment").to_pylist(), batch.column("payload"), strict=True):
+                if f != now:
+                    yield from done()
+                    now = f
+                e, known = Entries.unpacked(payload.as_py())
+                if known:
+                    yield e.batch()
+                else:
+                    held.setdefault(e.kind, []).append(e)
+        yield from done()
+        release()
 
-    partial = sent.repartitionById(fragments, F.col("fragment")).sortWithinPartitions("fragment").mapInArrow(count, SCHEMA)
-    return partial.repartitionById(fragments, F.col("fragment")).mapInArrow(add_up, "owner long, n long")
+    return dealt(sent, fragments).mapInArrow(run, MET)

@@ -2,9 +2,9 @@
 
 The global order of shingle hashes is cut into fragments. A first pass counts, fragment by fragment, how many of a
 document's shingles any other text holds, and sums the counts: texts with too few shared shingles can have no partner.
-The others are ordered from rare to common shingles; texts that meet in a shingle of their prefixes form families, and
-within a family, blocks of texts of like size count partial overlaps by fragments of the shingle order and sum them per
-pair. No pair is left out: the prefix, length and shared-count filters only drop pairs that cannot reach the threshold.
+The others are ordered from rare to common shingles; texts that meet in a shingle of their prefixes are pairs to be
+verified: partial overlaps are counted by pair and fragment of the shingle order, and summed per pair. No pair is left
+out: the prefix, length, position, parity and shared-count filters only drop pairs that cannot reach the threshold.
 """
 
 from __future__ import annotations
@@ -18,123 +18,50 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import fragments as fr
-from .common import checkpointed, mix, row_key, shingle_hashes, small_or_shuffled, text_batches, to_python
-from .components import components
+from .common import Sets, Words, checkpointed, mix, row_key, small_or_shuffled, text_batches, to_python, written
+from .links import FACTS, PARITIES, linked_components, parities, parts
 
-#: Texts and shingles that a block may hold.
-BLOCK_TEXTS, BLOCK_KEYS = 512, 400_000
-#: Distinct shingles of one fragment of a block.
-FRAGMENT_KEYS = 4096
+#: Vertical fragments in which a pair's partial overlaps are counted.
+FRAGMENTS = 4
+#: Bytes of texts whose words are hashed together.
+TOGETHER = 1 << 20
 
 
-def signature(keys: np.ndarray) -> int:
-    """64-bit hash of a set of hashes, not SHARED."""
-    with np.errstate(over="ignore"):
-        s = int(mix(np.array([mix(keys ^ np.uint64(0x5851F42D4C957F2D)).sum() + np.uint64(len(keys))], np.uint64)).view(np.int64)[0])
-    return s if s != fr.SHARED else 0
+def signatures(sets: Sets) -> np.ndarray:
+    """64-bit hashes of the sets, not SHARED."""
+    total = sets.sums(mix(sets.hashes ^ np.uint64(0x5851F42D4C957F2D)))
+    s = mix(total + np.diff(sets.before).astype(np.uint64)).view(np.int64)
+    return np.where(s == fr.SHARED, 0, s)
 
 
-def shingle_sets(docs: DataFrame, n: int, with_keys: bool) -> DataFrame:
-    """(id, key, n, sig[, h]) of rows (id, key, text); sig is null for the empty set."""
+def shingle_sets(docs: DataFrame, n: int, with_parts: bool) -> DataFrame:
+    """(id, key, n, sig[, parities, parts]) of rows (id, key, text); sig is null for the empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_batches(batches):
-            sets = [np.unique(shingle_hashes(t, n)) for t in batch.column("text").to_pylist()]
-            cols = [batch.column("id"), batch.column("key"), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) if len(s) else None for s in sets], pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols + [pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))] * with_keys, ["id", "key", "n", "sig"] + ["h"] * with_keys)
+        for batch in text_batches(batches, TOGETHER):
+            sets = Sets.of(Words.of(batch.column("text")), n)
+            size = np.diff(sets.before)
+            cols = [batch.column("id"), batch.column("key"), pa.array(size), pa.array(signatures(sets), mask=size == 0)]
+            if with_parts:
+                cols += [*parities(sets), parts(sets, FRAGMENTS)]
+            yield pa.RecordBatch.from_arrays(cols, ["id", "key", "n", "sig"] + [*PARITIES, "parts"] * with_parts)
 
-    return docs.mapInArrow(run, "id long, key long, n long, sig long" + ", h array<long>" * with_keys)
+    more = ", b0 long, b1 long, b2 long, b3 long, parts array<array<long>>" * with_parts
+    return docs.mapInArrow(run, f"id long, key long, n long, sig long{more}")
 
 
 def _send_all(docs: DataFrame, n: int, bits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            for batch in text_batches(batches):
-                for t in batch.column("text").to_pylist():
-                    if len(s := np.unique(shingle_hashes(t, n))):
-                        yield np.full(len(s), signature(s), np.int64), s
+            for batch in text_batches(batches, TOGETHER):
+                sets = Sets.of(Words.of(batch.column("text")), n)
+                yield signatures(sets)[sets.owner], sets.hashes
 
         yield from fr.send(rows(), bits)
 
     return docs.mapInArrow(run, fr.SCHEMA)
 
 
-def overlaps(keys: np.ndarray, owner: np.ndarray, texts: int) -> np.ndarray:
-    """Matrix of common keys of every two texts: partial counts by fragments of the sorted keys, summed per pair."""
-    order = np.argsort(keys, kind="stable")
-    keys, owner = keys[order], owner[order]
-    start, length = fr.runs(keys)
-    rank = np.repeat(np.cumsum(length > 1) - 1, length)  # keys that one text holds add nothing off the diagonal
-    inside = np.repeat(length > 1, length)
-    rank, owner = rank[inside], owner[inside]
-    total = np.zeros((texts, texts), np.float32)
-    edges = np.searchsorted(rank, np.arange(0, (rank[-1] + 1 if len(rank) else 0) + FRAGMENT_KEYS, FRAGMENT_KEYS))
-    for a, b in zip(edges[:-1], edges[1:], strict=True):
-        if b > a:
-            part = np.zeros((texts, int(rank[b - 1] - rank[a]) + 1), np.float32)
-            part[owner[a:b], rank[a:b] - rank[a]] = 1
-            total += part @ part.T
-    return total
-
-
-def _verify(percent: int):
-    def run(group: pa.Table) -> pa.Table:
-        sig, first = np.unique(group.column("sig").to_numpy(), return_index=True)
-        n = group.column("n").to_numpy()[first]
-        h = group.column("h").take(pa.array(first)).combine_chunks()
-        h = h.chunk(0) if isinstance(h, pa.ChunkedArray) else h
-        sizes = np.diff(h.offsets.to_numpy())
-        common = overlaps(h.flatten().to_numpy(), np.repeat(np.arange(len(sig)), sizes), len(sig)).astype(np.int64)
-        linked = 100 * common >= percent * (n[:, None] + n[None, :] - common)
-        np.fill_diagonal(linked, True)
-        # Edges to the least text that each can reach in this block span its components.
-        label = np.arange(len(sig))
-        while True:
-            new = np.where(linked, label[None, :], len(sig)).min(axis=1)
-            if (new == label).all():
-                break
-            label = new
-        at = np.flatnonzero(label < np.arange(len(sig)))
-        return pa.table({"a": pa.array(sig[at], pa.int64()), "b": pa.array(sig[label[at]], pa.int64())})
-
-    return run
-
-
-def linked_components(sets: DataFrame, prefix: DataFrame, percent: int) -> DataFrame:
-    """(node, component) of the sets (sig, n, h) that link, of those that meet in an entry (sig, t) of ``prefix``.
-
-    Sets that meet, directly or through others, are a family; a family is cut by size classes and hashes into blocks,
-    and every two blocks of like size are compared once, in one task of bounded size.
-    """
-    hubs = prefix.groupBy("t").agg(F.min("sig").alias("hub"), F.count("*").alias("c")).where("c > 1")
-    family = components(prefix.join(hubs, "t").select("sig", "hub").distinct(), "sig", "hub").select(F.col("node").alias("sig"), F.col("component").alias("family"))
-
-    # Sizes of linked texts differ by no more than 1 / percent: they are in one or in neighbouring size classes.
-    klass = F.floor(F.log("n") / math.log(100 / percent) * (1 - 1e-9)).cast("int")
-    members = checkpointed(family.join(sets.select("sig", "n"), "sig").withColumn("c", klass))
-    blocks = members.groupBy("family", "c").agg(F.count("*").alias("k"), F.max("n").alias("most")).select(
-        "family", "c", F.ceil(F.col("k") / F.greatest(F.lit(1), F.least(F.lit(BLOCK_TEXTS), F.floor(BLOCK_KEYS / F.col("most"))))).cast("int").alias("k"), F.col("k").alias("texts")
-    )
-    above = blocks.select("family", (F.col("c") - 1).alias("c"), F.col("k").alias("up"), F.col("texts").alias("texts_up"))
-    below = blocks.select("family", (F.col("c") + 1).alias("c"), F.col("k").alias("down"), F.col("texts").alias("texts_down"))
-    around = blocks.join(above, ["family", "c"], "left").join(below, ["family", "c"], "left").where("texts + coalesce(texts_up, 0) + coalesce(texts_down, 0) > 1")
-    dealt = members.select("sig", "family", "c").join(around, ["family", "c"]).withColumn("i", F.pmod(F.xxhash64("sig", F.lit(3)), F.col("k")).cast("int"))
-
-    def pairs(n: str, f) -> object:
-        return F.transform(F.when(F.coalesce(F.col(n), F.lit(0)) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>")), f)
-
-    c, i = F.col("c"), F.col("i")
-    meet = F.concat(
-        pairs("k", lambda j: F.struct(c.alias("c"), F.least(i, j).alias("i"), c.alias("d"), F.greatest(i, j).alias("j"))),
-        pairs("up", lambda j: F.struct(c.alias("c"), i.alias("i"), (c + 1).alias("d"), j.alias("j"))),
-        pairs("down", lambda j: F.struct((c - 1).alias("c"), j.alias("i"), c.alias("d"), i.alias("j"))),
-    )
-    met = dealt.select("sig", "family", F.explode(meet).alias("m")).join(sets, "sig").select("family", "m.*", "sig", "n", "h")
-    links = met.groupBy("family", "c", "i", "d", "j").applyInArrow(_verify(percent), "a long, b long")
-
-    return components(links)
-
-
 def jaccard_join(docs: DataFrame, percent: int = 90, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) of every row: texts link when their shingle sets' Jaccard similarity is at least ``percent`` %.
 
@@ -153,20 +80,22 @@ def jaccard_join(docs: DataFrame, percent: int = 90, shingle: int = 3, id_col: s
     classes = meta.where("sig is not null").groupBy("sig").agg(F.min("key").alias("key"), F.min("id").alias("id"), F.first("n").alias("n"))
     able = checkpointed(classes.join(shared.select(F.col("owner").alias("sig"), F.col("n").alias("m")), "sig").where(f"100 * m >= {percent} * n").select("key", "sig"))
     few = source.join(small_or_shuffled(able.select("key")), "key", "left_semi")
-    sets = checkpointed(shingle_sets(few, shingle, True).dropDuplicates(["sig"]).select("sig", "n", "h"))
+    sets = written(shingle_sets(few, shingle, True).drop("id", "key").dropDuplicates(["sig"]), "sets")
 
     # Prefix in the order of document frequency: with ceil(p n) common shingles needed, one of the first n - ceil(p n) + 1 is common.
-    tokens = sets.select("sig", "n", F.explode("h").alias("t"))
+    tokens = sets.select("sig", "n", F.explode(F.flatten("parts")).alias("t"))
     known = tokens.groupBy("t").agg(F.count("*").alias("df")).where("df > 1")
     by_text = Window.partitionBy("sig")
     ranked = tokens.join(known, "t").select(
         "sig", "n", "t", F.row_number().over(by_text.orderBy("df", "t")).alias("rank"), F.count("*").over(by_text).alias("m")
     )
-    prefix = checkpointed(ranked.where(f"rank + n - m <= n - cast(ceil({percent} * n / 100) as long) + 1").select("sig", "t"))
-    joined = linked_components(sets, prefix, percent)
+    # ``rest``: shingles from this place of the order on.
+    prefix = ranked.where(f"rank + n - m <= n - cast(ceil({percent} * n / 100) as long) + 1").select("sig", "t", (F.col("m") - F.col("rank") + 1).alias("rest"))
+    entries = checkpointed(prefix.join(sets.select("sig", "n", *PARITIES), "sig").select("t", *FACTS))
+    joined = linked_components(entries, sets.select("sig", "parts"), percent)
     least = classes.join(joined.select(F.col("node").alias("sig"), "component"), "sig", "left").select("sig", "id", F.coalesce("component", "sig").alias("root"))
     roots = least.groupBy("root").agg(F.min("id").alias("component_id"))
-    names = checkpointed(least.join(roots, "root").select("sig", "component_id"))
+    names = least.join(roots, "root").select("sig", "component_id")
     # Only texts whose component has another name than their own id need telling.
     copies = meta.where("sig is not null").groupBy("sig").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("id").alias("ids"), F.count("*").alias("rows"))
     told = checkpointed(names.join(copies, "sig").where("a < b or ids < rows or not a <=> component_id").select("sig", "component_id"))

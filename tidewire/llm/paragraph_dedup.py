@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 
 from . import fragments as fr
 from . import passages
-from .common import BROADCAST_ROWS, checkpointed, combine, mix, release, row_key, small_or_shuffled, text_batches, to_python, word_hashes
-from .jaccard_join import linked_components
+from .common import Words, checkpointed, distinct_sets, grams, mix, release, row_key, small_or_shuffled, text_batches, to_python, written
+from .links import FACTS, PARITIES, linked_components, parities, parts
 
 SHINGLE = 5
 #: Bands of two MinHashes each: at a similarity of 0.8 two paragraphs collide in one of 6 with probability 0.998.
@@ -28,62 +29,57 @@ BANDS, ROWS = 6, 2
 LEAST_SHINGLES = 4
 #: Paragraphs of more words than LONG are cut behind one word in CUT.
 LONG, CUT = 64, 16
+#: Bytes of texts whose words are hashed together.
+TOGETHER = 1 << 20
 _ENDS = np.isin(np.arange(256), list(b".!?"))
-
-
-def paragraphs(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes of the A-Z-lower-cased text, and the first word and number of words of its paragraphs."""
-    raw = (text or "").encode("utf-8", "replace").lower()
-    h, start, stop = word_hashes(raw)
-    if not len(h):
-        return h, np.empty(0, np.int64), np.empty(0, np.int64)
-    data = np.frombuffer(raw, np.uint8)
-    lines = np.searchsorted(np.flatnonzero(data == 10), start)
-    last = _ENDS[data[stop - 1]]
-    new = np.append(True, last[:-1] | (np.diff(lines) > 0))
-    first = np.flatnonzero(new)
-    n = np.diff(np.append(first, len(h)))
-    if (n > LONG).any():
-        # Text without line or sentence ends is cut behind words that their hashes choose, alike wherever it stands.
-        new[1:] |= (h[:-1] % np.uint64(CUT) == 0) & np.repeat(n > LONG, n)[:-1]
+#: One hash function for each MinHash: a random number is added to a shingle bit by bit, and an odd one multiplied.
+_SALTS, _FACTORS = mix(np.arange(1, 1 + BANDS * ROWS, dtype=np.uint64)), mix(np.arange(101, 101 + BANDS * ROWS, dtype=np.uint64)) | np.uint64(1)
+
+
+@dataclass
+class Units:
+    """Paragraphs of many texts: first word in ``words``, number of words, text, 64-bit hash, and whether each is compared."""
+
+    words: Words
+    first: np.ndarray
+    n: np.ndarray
+    text: np.ndarray
+    u: np.ndarray
+    ok: np.ndarray
+
+    @staticmethod
+    def of(w: Words, least: int) -> Units:
+        h, size = w.hashes, np.diff(w.before)
+        new = np.zeros(len(h), bool)
+        if len(h):
+            new[1:] = _ENDS[w.raw[w.stop[:-1] - 1]] | (np.diff(np.searchsorted(np.flatnonzero(w.raw == 10), w.start)) > 0)
+            new[w.before[:-1][size > 0]] = True
         first = np.flatnonzero(new)
         n = np.diff(np.append(first, len(h)))
-    return h, first, n
-
-
-def _units(text: str | None, least: int):
-    return _units_of(*paragraphs(text), least)
-
-
-def _units_of(h: np.ndarray, first: np.ndarray, n: np.ndarray, least: int):
-    """Word hashes, each word's paragraph, and paragraphs' first words, lengths, 64-bit hashes and whether they have ``least`` words."""
-    ok = n >= least
-    if not ok.any():
-        return None
-    owner = np.repeat(np.arange(len(n)), n)
-    place = (np.arange(len(h)) - first[owner]).astype(np.uint64)
-    u = mix(np.add.reduceat(mix(h + place * np.uint64(0x9E3779B97F4A7C15)), first) + n.astype(np.uint64)).view(np.int64)
-    return h, owner, first, n, u, ok
-
-
-def _shingles(text: str | None, least: int):
-    """Hashes of paragraphs with LEAST_SHINGLES shingles or more, and their distinct shingles with the number of each's paragraph, in order."""
-    if (x := _units(text, least)) is None:
-        return None
-    h, owner, _, n, u, ok = x
-    ok = ok & (n >= SHINGLE - 1 + LEAST_SHINGLES)
-    if not ok.any():
-        return None
-    five = combine(h, SHINGLE)
-    inside = (owner[: len(five)] == owner[SHINGLE - 1 : SHINGLE - 1 + len(five)]) & ok[owner[: len(five)]]
-    return u[ok], five[inside], (np.cumsum(ok) - 1)[owner[: len(five)][inside]]
-
-
-def _bands(five: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        if (n > LONG).any():
+            # Text without line or sentence ends is cut behind words that their hashes choose, alike wherever it stands.
+            new[1:] |= (h[:-1] % np.uint64(CUT) == 0) & np.repeat(n > LONG, n)[:-1]
+            first = np.flatnonzero(new)
+            n = np.diff(np.append(first, len(h)))
+        text = np.searchsorted(w.before, first, "right") - 1
+        place = (np.arange(len(h)) - np.repeat(first, n)).astype(np.uint64)
+        u = mix(np.add.reduceat(mix(h + place * np.uint64(0x9E3779B97F4A7C15)), first) + n.astype(np.uint64)) if len(first) else np.empty(0, np.uint64)
+        return Units(w, first, n, text, u, n >= least)
+
+    def shingles(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers of the wanted paragraphs that have LEAST_SHINGLES at least; their shingles with the place of each's paragraph among those, in order."""
+        wide = wanted & (self.n >= SHINGLE - 1 + LEAST_SHINGLES)
+        unit = np.repeat(np.arange(len(self.n)), self.n)
+        inside = wide[unit]
+        last = unit[SHINGLE - 1 :]
+        inside = inside[: len(last)] & (unit[: len(last)] == last)
+        return np.flatnonzero(wide), grams(self.words.hashes, SHINGLE)[inside], (np.cumsum(wide) - 1)[unit[: len(last)][inside]]
+
+
+def bands(five: np.ndarray, owner: np.ndarray) -> np.ndarray:
     """(paragraphs, BANDS) keys of ROWS MinHashes each; every paragraph has a shingle."""
-    first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
-    # Shingle hashes are random numbers; an odd factor puts them in another order.
-    least = [np.minimum.reduceat(five * np.uint64((0xC4CEB9FE1A85EC53 * (2 * k + 1)) & (1 << 64) - 1), first) for k in range(BANDS * ROWS)]
+    first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))[: len(owner)]
+    least = [np.minimum.reduceat((five ^ salt) * factor, first) for salt, factor in zip(_SALTS, _FACTORS, strict=True)]
     return np.stack([mix(mix(least[2 * b]) + np.uint64(3) * least[2 * b + 1] + np.uint64(b)) for b in range(BANDS)], 1)
 
 
@@ -93,6 +89,12 @@ _RESULT = "key long, n_repeated long, n_removed long, repeated_words long, remov
 _SPAN = pa.struct([("start", pa.int64()), ("stop", pa.int64())])
 
 
+def _of_lists(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of each value's list, and the values; null lists have none."""
+    sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(lists)), sizes), lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def _merged(start: np.ndarray, stop: np.ndarray, kind: np.ndarray, keeper: np.ndarray, min_words: int, min_run: int) -> tuple | None:
     """A row's results: paragraphs, and the stretches of exact passages beside them, are its pieces; of a cluster's first paragraph, words of earlier passages go."""
     unit = np.flatnonzero(kind <= LATER)
@@ -170,105 +172,83 @@ def repeated_paragraphs(docs: DataFrame, percent: int = 80, min_words: int = 6,
     """
     least = max(min_words, SHINGLE)
     source = to_python(docs.select(F.col(id_col).cast("long").alias("id"), row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text")))
-    bits = int(math.log2(fr.n_fragments(0, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
-
-    # A word is about 6 bytes, one in 16 begins an anchor.
+    # One entry for about 16 bytes: an anchor in 16 words, a paragraph and its bands in 8 words or more.
     size = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    anchor_bits = int(math.log2(fr.n_fragments(size // 96, 16)))
-
-    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            for batch in text_batches(batches):
-                for t in batch.column("text").to_pylist():
-                    if (x := _shingles(t, least)) is not None:
-                        yield np.repeat(x[0], BANDS), _bands(x[1], x[2]).ravel()
-
-        yield from fr.send(rows(), bits)
-
-    def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of paragraphs, and payloads of anchors."""
-        names = ["key", "id", "start", "n", "u", "fragment", "payload"]
-        sender = passages.Sender(anchor_bits)
-
-        def anchored() -> pa.RecordBatch:
-            fragment, payload = sender.payloads()
-            return pa.RecordBatch.from_arrays([*(pa.nulls(len(payload), pa.int64()) for _ in range(5)), pa.array(fragment, pa.int32()), pa.array(payload, pa.binary())], names)
-
-        for batch in text_batches(batches):
-            found = []
-            for t, key, id in zip(batch.column("text").to_pylist(), batch.column("key").to_pylist(), batch.column("id").to_pylist(), strict=True):
-                x = paragraphs(t)
-                found.append(_units_of(*x, least))
-                at, g = passages.anchors(x[0])
-                g, once = np.unique(g, return_index=True)
-                if sender.add(key, id, at[once], g):
-                    yield anchored()
-            n = np.array([0 if x is None else int(x[5].sum()) for x in found])
-            if n.any():
-                at = pa.array(np.repeat(np.arange(len(n)), n))
-                cols = [pa.array(np.concatenate([x[j][x[5]] for x in found if x is not None]).astype(np.int64)) for j in (2, 3, 4)]
-                yield pa.RecordBatch.from_arrays([batch.column("key").take(at), batch.column("id").take(at), *cols, pa.nulls(len(at), pa.int32()), pa.nulls(len(at), pa.binary())], names)
-        yield anchored()
-
-    def windowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sender = passages.Sender(window_bits)
-
-        def sent_on() -> pa.RecordBatch:
-            fragment, payload = sender.payloads()
-            return pa.RecordBatch.from_arrays([pa.array(fragment, pa.int32()), pa.array(payload, pa.binary())], ["fragment", "payload"])
-
-        for batch in text_batches(batches):
-            for t, key, id, hits in zip(*(batch.column(c).to_pylist() for c in ("text", "key", "id", "hits")), strict=True):
-                if sender.add(key, id, *passages.windows(paragraphs(t)[0], np.array(hits, np.int64))):
-                    yield sent_on()
-        yield sent_on()
-
-    def shingled(wanted) -> object:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            few = None if wanted is None else wanted.value
-            for batch in text_batches(batches):
-                # All texts of a batch are put together: paragraphs are numbered on from text to text.
-                found = [x for t in batch.column("text").to_pylist() if (x := _shingles(t, least)) is not None]
-                if not found:
-                    continue
-                base = np.cumsum([0] + [len(x[0]) for x in found])
-                u, five = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
-                owner = np.concatenate([x[2] + b for x, b in zip(found, base, strict=False)])
-                if few is not None:
-                    ok = few[np.minimum(np.searchsorted(few, u), len(few) - 1)] == u
-                    if not ok.any():
-                        continue
-                    u, five, owner = u[ok], five[ok[owner]], (np.cumsum(ok) - 1)[owner[ok[owner]]]
-                bands = _bands(five, owner)
-                order = np.lexsort((five, owner))
-                five, owner = five[order], owner[order]
-                once = np.append(True, (five[1:] != five[:-1]) | (owner[1:] != owner[:-1]))
-                five, owner = five[once], owner[once]
-                ends = np.searchsorted(owner, np.arange(len(u) + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(u), pa.array(np.diff(ends).astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(five.view(np.int64))), pa.ListArray.from_arrays(pa.array(np.arange(len(u) + 1, dtype=np.int32) * BANDS), pa.array(bands.view(np.int64).ravel()))],
-                    ["sig", "n", "h", "bands"],
-                )
-
-        return run
-
-    both = checkpointed(source.mapInArrow(occurrences, "key long, id long, start long, n long, u long, fragment int, payload binary"))
-    units = both.where("payload is null").select("key", "id", "start", "n", "u")
-    # Exact passages: texts that share an anchor with another row are read again, and their windows around it compared.
-    hits = checkpointed(passages.repeated(both.where("payload is not null").select("fragment", "payload"), 1 << anchor_bits, passages.hit_rows, "key long, hits array<int>"))
-    told_hits = hits.agg(F.coalesce(F.sum(F.size("hits") + 1), F.lit(0))).first()[0]
-    window_bits = int(math.log2(fr.n_fragments(20 * told_hits, 16)))
-    anchored = source.join(F.broadcast(hits) if told_hits <= BROADCAST_ROWS else hits.hint("merge"), "key")
-    exact = passages.repeated(anchored.select("key", "id", "text", "hits").mapInArrow(windowed, fr.SCHEMA), 1 << window_bits, passages.span_rows, passages.SPANS)
-    # Near copies: paragraphs that share a band with a different one. Few of them are told to the tasks that read the texts again.
-    met = checkpointed(fr.shared_counts(source.select("text").mapInArrow(sent, fr.SCHEMA), 1 << bits).select(F.col("owner").alias("sig")))
-    count = met.count()
-    wanted = docs.sparkSession.sparkContext.broadcast(np.sort(met.toPandas()["sig"].to_numpy(np.int64))) if 0 < count <= BROADCAST_ROWS else None
-    near = source.select("text").where(F.lit(count > 0)).mapInArrow(shingled(wanted), "sig long, n long, h array<long>, bands array<long>")
-    near = checkpointed((near if wanted is not None else near.join(met.hint("merge"), "sig")).dropDuplicates(["sig"]))
-    linked = linked_components(near.select("sig", "n", "h"), near.select("sig", F.explode("bands").alias("t")), percent)
+    count = fr.n_fragments(size // 8, 16)
+    bits = int(math.log2(count))
+
+    def rows_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        return batch.column("key").to_numpy(), batch.column("id").fill_null(fr.NO_ID).to_numpy(zero_copy_only=False)
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Anchors, paragraphs and bands of all texts."""
+        hit, unit, band = (fr.Gatherer(kind, bits) for kind in (fr.HIT, fr.UNIT, fr.BAND))
+        for batch in text_batches(batches, TOGETHER):
+            keys, ids = rows_of(batch)
+            w = Words.of(batch.column("text"))
+            x = Units.of(w, least)
+            at, text, g = passages.anchors(w)
+            one = passages.once(text, g)
+            wide, five, owner = x.shingles(x.ok)
+            start = x.first - w.before[x.text]
+            found = list(hit.add(keys, ids, text[one], (at - w.before[text])[one], g[one]))
+            found += unit.add(keys, ids, x.text[x.ok], start[x.ok], x.u[x.ok], x.n[x.ok])
+            if len(wide):
+                again = np.repeat(wide, BANDS)
+                found += band.add(keys, ids, x.text[again], start[again], bands(five, owner).ravel(), x.u[again])
+            if found:
+                yield fr.payloads(found)
+        if found := [x for g in (hit, unit, band) for x in g.flush()]:
+            yield fr.payloads(found)
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of texts that are read again: the sets of paragraphs that met others, and the windows around anchors that met."""
+        sender = passages.Sender(bits)
+
+        def sent(found: list[tuple[int, bytes]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*(pa.nulls(len(found), f.type) for f in near), pa.array([x[0] for x in found], pa.int32()), pa.array([x[1] for x in found], pa.binary())], [f.name for f in near] + ["fragment", "payload"])
+
+        for batch in text_batches(batches, TOGETHER):
+            keys, ids = rows_of(batch)
+            w = Words.of(batch.column("text"))
+            text, place = _of_lists(batch.column("hits"))
+            if sender.add(keys, ids, *passages.windows(w, text, place)):
+                yield sent(list(sender.payloads()))
+            x = Units.of(w, least)
+            text, place = _of_lists(batch.column("near"))
+            wanted = np.zeros(len(x.first), bool)
+            wanted[np.searchsorted(x.first, w.before[text] + place)] = True
+            wide, five, owner = x.shingles(wanted)
+            sets = distinct_sets(five, owner, len(wide))
+            own = x.text[wide]
+            cols = [pa.array(keys[own]), pa.array(ids[own], mask=ids[own] == fr.NO_ID), pa.array((x.first[wide] - w.before[own]).astype(np.int32)), pa.array(x.n[wide].astype(np.int32)), pa.array(x.u[wide].view(np.int64)), pa.array(np.diff(sets.before)), *parities(sets), parts(sets, 1)]
+            if len(wide):
+                yield pa.RecordBatch.from_arrays([*cols, pa.nulls(len(wide), pa.int32()), pa.nulls(len(wide), pa.binary())], [f.name for f in near] + ["fragment", "payload"])
+        if found := list(sender.payloads()):
+            yield sent(found)
+
+    long = pa.int64()
+    near = [pa.field(c, t) for c, t in (("key", long), ("id", long), ("start", pa.int32()), ("words", pa.int32()), ("u", long), ("n", long), *((c, long) for c in PARITIES), ("parts", pa.list_(pa.list_(long))))]
+    read = "key long, id long, start int, words int, u long, n long, b0 long, b1 long, b2 long, b3 long, parts array<array<long>>, fragment int, payload binary"
+
+    met = written(fr.met(source.mapInArrow(entries, fr.SCHEMA), count), "met")
+    places = lambda kind: F.collect_set(F.when(F.col("kind") == kind, F.col("place")))
+    wanted = checkpointed(met.where(F.col("kind") != fr.UNIT).groupBy("key").agg(places(fr.HIT).alias("hits"), places(fr.BAND).alias("near")))
+    # Texts that share an anchor or a band with another row are read again.
+    twice = written(source.join(small_or_shuffled(wanted), "key").select("key", "id", "text", "hits", "near").mapInArrow(again, read), "twice")
+    exact = passages.repeated(twice.where("payload is not null").select("fragment", "payload"), count)
+
+    copies = twice.where("payload is null")
+    names = copies.select("key", "start", F.col("u").alias("sig"), "n", F.col("n").alias("rest"), *PARITIES).dropDuplicates(["key", "start"])
+    banded = met.where(F.col("kind") == fr.BAND).select(F.col("a").alias("t"), "key", F.col("place").alias("start")).distinct()
+    banded = checkpointed(banded.join(names, ["key", "start"]).select("t", *FACTS).dropDuplicates(["t", "sig"]))
+    linked = linked_components(banded, copies.select(F.col("u").alias("sig"), "parts").dropDuplicates(["sig"]), percent)
     linked = checkpointed(linked.select(F.col("node").alias("u"), F.col("component").alias("root")))
 
+    # A paragraph that only one text holds counts if it is linked; of the others all occurrences have met.
+    units = met.where(F.col("kind") == fr.UNIT).select("key", "id", F.col("place").alias("start"), F.col("b").alias("n"), F.col("a").alias("u"))
+    single = copies.select("key", "id", "start", F.col("words").alias("n"), "u").join(linked.select("u"), "u", "left_semi")
+    units = units.unionByName(single).dropDuplicates(["key", "start"])
     first = F.min(F.struct("id", "key", "start"))
     texts = units.groupBy("u").agg(first.alias("first"), F.min("key").alias("low"), F.max("key").alias("high"))
     named = texts.join(linked, "u", "left").withColumn("root", F.coalesce("root", "u"))

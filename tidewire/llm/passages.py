@@ -8,34 +8,24 @@ of WINDOW words are compared by their hashes; those that several rows hold cover
 from __future__ import annotations
 
 import struct
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import fragments as fr
-from .common import _BASE, _UNBASE, _powers, mix, release
+from .common import Words, grams, mix, release
 
 #: Passages of over 50 words count; REACH is a power of two.
 WINDOW, GRAM = 51, 20
 REACH = WINDOW - GRAM + 1
-#: Stands for a null id, which comes first in order.
-NO_ID = -(1 << 63)
+NO_ID = fr.NO_ID
 #: Kinds of pieces: covered by repeated windows, by such that are not the first of their text, and the row of a first one.
 COVERED, REMOVED, KEEPER = 2, 3, 4
 SPANS = "key long, start long, stop long, kind int, keeper long"
 
 
-def grams(h: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of every run of n word hashes by running sums; none if there are fewer."""
-    if len(h) < n:
-        return np.empty(0, np.uint64)
-    sums = np.append(np.uint64(0), np.cumsum(h * _powers(_BASE, len(h))[: len(h)]))
-    return mix((sums[n:] - sums[:-n]) * _powers(_UNBASE, len(h))[: len(h) - n + 1])
-
-
 def _sliding(x: np.ndarray, f: np.ufunc) -> np.ndarray:
     k = 1
     while k < REACH:
@@ -44,24 +34,40 @@ def _sliding(x: np.ndarray, f: np.ufunc) -> np.ndarray:
     return x
 
 
-def anchors(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First words and hashes of the runs of GRAM words that are the least of any REACH neighbours."""
+def anchors(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places in ``w``, texts and hashes of the runs of GRAM words that are the least of any REACH neighbours in their text."""
+    h = w.hashes
     if len(h) < WINDOW:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    g = grams(h, GRAM)
-    least = np.pad(_sliding(g, np.minimum), REACH - 1)
-    at = np.flatnonzero(g == _sliding(least, np.maximum))
-    return at, g[at]
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
+    g, owner = grams(h, GRAM), w.text_of()
+    least = _sliding(g, np.minimum)
+    least[owner[: len(least)] != owner[WINDOW - 1 :]] = 0  # windows over the end of a text choose nothing
+    at = np.flatnonzero(g == _sliding(np.pad(least, REACH - 1), np.maximum))
+    at = at[g[at] > 0]
+    return at, owner[at], g[at]
+
+
+def _by_text(text: np.ndarray, g: np.ndarray) -> np.ndarray:
+    return mix(g + text.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def windows(h: np.ndarray, hits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First words and hashes of the windows that hold an anchor equal to one of those at ``hits``."""
-    at, g = anchors(h)
-    at = at[np.isin(g, grams(h, GRAM)[hits])]
-    n = len(h) - WINDOW + 1
-    edge = np.bincount(np.maximum(at - REACH + 1, 0), minlength=len(h) + 2) - np.bincount(at + 1, minlength=len(h) + 2)
-    start = np.flatnonzero(np.cumsum(edge)[:n] > 0)
-    return start, grams(h, WINDOW)[start]
+def once(text: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """The first of equal hashes of a text."""
+    return np.sort(np.unique(_by_text(text, g), return_index=True)[1])
+
+
+def windows(w: Words, text: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts, first words and hashes of the windows that hold an anchor equal to one of those at these places of their texts."""
+    at, own, g = anchors(w)
+    tags = _by_text(own, g)
+    chosen = np.isin(tags, tags[np.searchsorted(at, w.before[text] + place)])
+    at, own = at[chosen], own[chosen]
+    low, high = np.maximum(at - REACH + 1, w.before[own]), np.minimum(at, w.before[own + 1] - WINDOW)
+    ok = low <= high
+    size = len(w.hashes) + 1
+    start = np.flatnonzero(np.cumsum(np.bincount(low[ok], minlength=size) - np.bincount(high[ok] + 1, minlength=size)) > 0)
+    own = np.searchsorted(w.before, start, "right") - 1
+    return own, start - w.before[own], grams(w.hashes, WINDOW)[start]
 
 
 class Sender:
@@ -70,31 +76,30 @@ class Sender:
     def __init__(self, bits: int):
         self.bits, self.held, self.size = bits, [], 0
 
-    def add(self, key: int, id: int | None, place: np.ndarray, hashes: np.ndarray) -> bool:
+    def add(self, keys: np.ndarray, ids: np.ndarray, row: np.ndarray, place: np.ndarray, hashes: np.ndarray) -> bool:
         """Whether it is time to send."""
         if len(place):
-            self.held.append((key, NO_ID if id is None else id, place, hashes))
+            self.held.append((keys, ids, row, place, hashes))
             self.size += len(place)
-        return self.size >= fr.KEYS_PER_PAYLOAD
+        return self.size >= fr.ENTRIES_PER_PAYLOAD
 
-    def payloads(self) -> tuple[list[int], list[bytes]]:
+    def payloads(self) -> Iterator[tuple[int, bytes]]:
         if not self.held:
-            return [], []
-        keys, ids = (np.array([x[j] for x in self.held], np.int64) for j in (0, 1))
-        row = np.repeat(np.arange(len(keys)), [len(x[2]) for x in self.held])
-        place, hashes = np.concatenate([x[2] for x in self.held]).astype(np.uint32), np.concatenate([x[3] for x in self.held])
+            return
+        base = np.cumsum([0] + [len(x[0]) for x in self.held])
+        keys, ids, place, hashes = (np.concatenate([x[j] for x in self.held]) for j in (0, 1, 3, 4))
+        row = np.concatenate([x[2] + b for x, b in zip(self.held, base, strict=False)])
         self.held, self.size = [], 0
+        place = place.astype(np.uint32)
         fragment = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
         order = np.argsort(fragment.astype(np.uint16) if self.bits <= 16 else fragment, kind="stable")
         fragment, row, place, hashes = fragment[order], row[order], place[order], hashes[order]
         low = (hashes & np.uint64((1 << 48) - 1)).view(np.uint8).reshape(-1, 8)[:, :6]
         first, length = fr.runs(fragment)
-        out = []
         for a, k in zip(first, length, strict=True):
             r, n = fr.runs(row[a : a + k])
             own = row[a : a + k][r]
-            out.append(struct.pack("<II", len(own), k) + keys[own].tobytes() + ids[own].tobytes() + n.astype(np.uint32).tobytes() + place[a : a + k].tobytes() + low[a : a + k].tobytes())
-        return fragment[first].tolist(), out
+            yield int(fragment[a]), struct.pack("<II", len(own), k) + keys[own].tobytes() + ids[own].tobytes() + n.astype(np.uint32).tobytes() + place[a : a + k].tobytes() + low[a : a + k].tobytes()
 
 
 def _read(payload: bytes) -> tuple[np.ndarray, ...]:
@@ -173,11 +178,6 @@ def _covered(place: np.ndarray, size: int) -> np.ndarray:
     return np.cumsum(edge)[:-1] > 0
 
 
-def hit_rows(payloads: list[bytes]) -> pa.RecordBatch:
-    rows = list(_gathered(payloads))
-    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1].astype(np.int32) for x in rows], pa.list_(pa.int32()))], ["key", "hits"])
-
-
 def span_rows(payloads: list[bytes]) -> pa.RecordBatch:
     """SPANS: every window's first occurrence stays whole, so words that one covers are not removed."""
     out: list[tuple] = []
@@ -195,33 +195,18 @@ def span_rows(payloads: list[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 3 else pa.int64()) for i, c in enumerate(cols)], ["key", "start", "stop", "kind", "keeper"])
 
 
-def repeated(sent: DataFrame, fragments: int, rows: Callable[[list[bytes]], pa.RecordBatch], schema: str) -> DataFrame:
-    """What ``rows`` makes of the entries of each row of the texts whose hash another row holds too."""
+def repeated(sent: DataFrame, fragments: int) -> DataFrame:
+    """SPANS of each row whose windows another row holds too."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-
-        def done() -> Iterator[pa.RecordBatch]:
-            if held:
-                out = list(_met(held, fragments))
-                held.clear()
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], ["fragment", "payload"])
-
-        for batch in batches:
-            for f, payload in zip(batch.column("fragment").to_pylist(), batch.column("payload"), strict=True):
-                if f != now:
-                    yield from done()
-                    now = f
-                held.append(payload.as_py())
-        yield from done()
+        for held in fr.by_fragment(batches):
+            if out := list(_met(held, fragments)):
+                yield fr.payloads(out)
         release()
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [x.as_py() for batch in batches for x in batch.column("payload")]
-        if held:
-            yield rows(held)
+        for held in fr.by_fragment(batches):
+            yield span_rows(held)
         release()
 
-    partial = sent.repartitionById(fragments, F.col("fragment")).sortWithinPartitions("fragment").mapInArrow(meet, fr.SCHEMA)
-    return partial.repartitionById(fragments, F.col("fragment")).mapInArrow(gather, schema)
+    return fr.dealt(fr.dealt(sent, fragments).mapInArrow(meet, fr.SCHEMA), fragments).mapInArrow(gather, SPANS)

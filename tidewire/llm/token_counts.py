@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_batches, to_python
+from .common import checkpointed, text_batches, to_python
 
 #: Fixed value: the pattern that cuts texts before the merges of byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -78,7 +78,8 @@ def with_suffix_sums(histogram: DataFrame) -> DataFrame:
     """The histogram with, for each length L: ``docs_longer`` (more than L), ``tokens_longer`` (their tokens), ``tokens_total``
     (of texts up to L), ``tokens_kept`` (of all texts, cut at L tokens) and ``share`` (of texts up to L). An empty histogram stays empty.
     """
-    blocked = histogram.withColumn("block", F.floor(F.col("n_tokens") / BLOCK)).withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
+    # Both its own rows and the sums of its blocks are read.
+    blocked = checkpointed(histogram).withColumn("block", F.floor(F.col("n_tokens") / BLOCK)).withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
     sums = blocked.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t"))
     # One row for each 1024 lengths: few, whatever the number of texts.
     after = Window.orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)

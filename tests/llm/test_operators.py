@@ -435,11 +435,53 @@ def test_prior_and_quality(spark, odd, none):
     held = [x for x in got if x["held_out"]]
     assert held and np.mean([x["predicted"] == (x["doc_id"] % 4 > 0) for x in held]) > 0.95
     assert all(0 <= x["score"] <= 1 for x in got)
+    by_jobs = {x["doc_id"]: x["score"] for x in quality_classifier.quality_scores(docs, labels, limit=0).collect()}
+    assert max(abs(by_jobs[x["doc_id"]] - x["score"]) for x in got) < 1e-3
     assert quality_classifier.quality_scores(odd, labels).count() == odd.count()
     assert quality_classifier.quality_scores(odd, labels.where("false")).count() == odd.count()
     assert quality_classifier.quality_scores(none, labels).count() == 0
 
 
+@pytest.mark.parametrize("prior", [None, 0.05, 0.6, 0.99])
+def test_risk_by_brute_force(prior):
+    """Risk and gradient from sums over counted rows, against single rows and differences; a prior of 0.99 makes the negative part negative."""
+    q, rng = quality_classifier, np.random.default_rng(3)
+    hot = rng.integers(0, q.BINS + 1, (40, len(q.FEATURES)))
+    p, u = rng.integers(0, 4, 40).astype(float), rng.integers(1, 5, 40).astype(float)
+    theta = rng.normal(0, 0.3, q.SIZE)
+
+    def plain(theta):
+        g = [sum(theta[j * (q.BINS + 1) + b] for j, b in enumerate(row)) + theta[-1] for row in hot]
+        pos = [x for x, n in zip(g, p, strict=True) for _ in range(int(n))]
+        unl = [x for x, n in zip(g, u, strict=True) for _ in range(int(n))]
+        s = lambda x: 1 / (1 + np.exp(-x))
+        norm = sum(x * x for x in theta[:-1]) / 2
+        if prior is None:
+            return np.mean([np.log1p(np.exp(-x)) for x in pos]) + np.mean([np.log1p(np.exp(x)) for x in unl]) + q.DECAY * norm
+        rest = np.mean([s(x) for x in unl]) - prior * np.mean([s(x) for x in pos])
+        return prior * np.mean([1 - s(x) for x in pos]) + abs(rest) + q.FINAL_DECAY * norm
+
+    at = lambda x: q.risk(x, q.sums(x, hot, p, u, prior is not None), p.sum(), u.sum(), prior)
+    f, grad = at(theta)
+    assert abs(f - plain(theta)) < 1e-9
+    for k in [*rng.integers(0, q.SIZE, 12), q.SIZE - 1]:
+        step = np.zeros(q.SIZE)
+        step[k] = 1e-5
+        assert abs((plain(theta + step) - plain(theta - step)) / 2e-5 - grad[k]) < 1e-6
+
+
+def test_search_finds_the_least_value():
+    search = quality_classifier.minimised(np.zeros(5), 60)
+    scale, best = np.array([1.0, 3, 10, 30, 100]), np.arange(5.0)
+    x = next(search)
+    while True:
+        try:
+            x = search.send((float(scale @ (x - best) ** 2), 2 * scale * (x - best)))
+        except StopIteration as end:
+            assert np.allclose(end.value, best, atol=1e-3)
+            break
+
+
 def test_hashes_of_long_texts(monkeypatch):
     from tidewire.llm import common
 

@@ -181,6 +181,22 @@ def test_contamination(spark, odd, none):
     assert decontaminate.contamination(odd, bench.where("false")).where("contaminated").count() == 0
 
 
+def test_contamination_of_long_texts(spark, monkeypatch):
+    rng = random.Random(11)
+    phrase, item = "one two three four five six seven", prose(rng, 40, 60)
+    items = [(0, (phrase + " ") * 40), (1, "seven"), (2, item), (3, "six seven one"), (4, "not there")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    small = [prose(rng, n, 60) + " " + item + " " + prose(rng, n, 60) for n in (0, 3, 30, 200)] + [(phrase + " ") * 30, " ".join(item.split(" ")[:13])]
+    monkeypatch.setattr(decontaminate, "CHUNK", 20)
+    got = decontaminate.contamination(docs_of(spark, small), bench).orderBy("doc_id").collect()
+    assert [(r["n_words"], r["n_hit"], r["n_items"], ",".join(r["items"]), r["contaminated"]) for r in got] == plain_contamination(small, items)
+    monkeypatch.undo()
+    long = spark.range(2).select(F.col("id").alias("doc_id"), F.concat(F.repeat(F.lit(phrase + " "), 150_000), F.lit(item)).alias("text"))
+    got = decontaminate.contamination(long, bench).collect()
+    n = 7 * 150_000 + 40
+    assert [(r["n_words"], r["n_hit"], r["items"]) for r in got] == [(n, n, ["0", "1", "2", "3"])] * 2
+
+
 # ---- pseudonyms
 
 def luhn(d):

@@ -3,6 +3,10 @@
 Of every 9 neighbouring 5-word grams of a text the one with the least hash is kept. Two texts that share 13 words keep
 a common gram there, so a join of kept grams meets every shared span of that length; each hit is then extended word by
 word to both sides, and stands if at least 13 words agree. Shorter items are looked up as whole grams of their length.
+
+Texts are cut into chunks that overlap by a window less one word, so memory doesn't follow a text's length. A one-row
+bitmap of the items' grams drops, inside each chunk, the grams that no item keeps; only the others are joined, with the
+words around them.
 """
 
 from __future__ import annotations
@@ -10,14 +14,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, checkpointed, row_key, small_or_shuffled
+from .common import ascii_lower, checkpointed, row_key, small_or_shuffled, written
 
-BROADCAST_ROWS = 1_000_000
 WINDOW, GRAM = 13, 5
 #: Grams that a winnowing window spans: GRAM + SPAN - 1 == WINDOW.
 SPAN = WINDOW - GRAM + 1
-#: A kept gram is one long: 38 bits of hash over 26 bits of place (texts of up to 67 million words).
-PLACE_BITS = 26
+#: Words that a chunk adds to those of the chunks before it.
+CHUNK = 4096
+#: A kept gram is one long: 51 bits of hash over 13 bits of its place in the chunk.
+PLACE_BITS = 13
+#: Bits of the bitmap for each gram of an item, and longs that it has at most (16 MB).
+BITS_PER_GRAM, MOST_LONGS = 64, 1 << 21
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -47,28 +54,56 @@ def _place(key: Column) -> Column:
     return key.bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")
 
 
-def _marks(rows: DataFrame, lengths: list[int], *carry: str) -> DataFrame:
-    """``carry`` with kept grams of each row's ``w`` (``k``) and all its whole grams of the given lengths (``k1``...)."""
-    return rows.withColumn("g", gram_keys(F.col("w"))).select(*carry, winnowed(F.col("g")).alias("k"), *(gram_keys(F.col("w"), n).alias(f"k{n}") for n in lengths))
+def _hash(key: Column) -> Column:
+    return F.shiftright(key, PLACE_BITS)
 
 
-def _grams(marks: DataFrame, lengths: list[int], *carry: str) -> DataFrame:
-    """Rows (carry, n, h, p) of the grams that ``_marks`` holds."""
-    out = None
-    for column, n in [("k", GRAM), *((f"k{n}", n) for n in lengths)]:
-        # explode_outer: for explode the optimiser would first compute the size of the array, and with it the array, once more
-        rows = marks.select(*carry, F.lit(n).alias("n"), F.explode_outer(column).alias("x")).where("x is not null")
-        rows = rows.select(*carry, "n", F.shiftright("x", PLACE_BITS).alias("h"), _place(F.col("x")).alias("p"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+def _chunks(rows: DataFrame, *carry: str) -> DataFrame:
+    """``carry`` with the chunks ``w`` of each row's words and their numbers; a row without words has one empty chunk."""
+    w = F.col("w")
+    last = F.greatest(F.ceil((F.size(w) - (WINDOW - 1)) / CHUNK).cast("int") - 1, F.lit(0))
+    # outer: for others the optimiser would first compute the size of the array, and with it the words, once more
+    cut = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(w, i * CHUNK + 1, CHUNK + WINDOW - 1))
+    return rows.select(*carry, F.posexplode_outer(cut).alias("chunk", "w"))
+
+
+def _around(w: Column, p: Column) -> list[Column]:
+    """Words before a place, the nearest first, and from it on: as many as a window that holds a gram there can have."""
+    left = F.least(p, F.lit(SPAN - 1))
+    return [F.reverse(F.slice(w, p - left + 1, left)).alias("l"), F.slice(w, p + 1, WINDOW).alias("r")]
+
+
+def _item_grams(items: DataFrame) -> DataFrame:
+    """(n, h, ik, item, il, ir, need): kept grams of items and whole shorter items, with the words around; places with the same words around count once."""
+    w = F.col("w")
+    cut = _chunks(items.where(F.size("w") >= WINDOW), "ik", "item").withColumn("g", gram_keys(w)).select("ik", "item", "w", F.explode_outer(winnowed(F.col("g"))).alias("x"))
+    kept = cut.select(F.lit(GRAM).alias("n"), _hash(F.col("x")).alias("h"), "ik", "item", *_around(w, _place(F.col("x"))), F.lit(WINDOW).alias("need"))
+    short = items.where(F.size("w") < WINDOW)
+    whole = F.coalesce(*(F.when(F.size(w) == n, gram_hash(w, F.lit(0), n)) for n in range(1, WINDOW)))
+    short = short.select(F.size(w).alias("n"), F.shiftright(whole, PLACE_BITS).alias("h"), "ik", "item", F.slice(w, 1, 0).alias("l"), w.alias("r"), F.size(w).alias("need"))
+    # A whole short item of GRAM words is no kept gram: its length is told apart by a negative sign.
+    return kept.unionByName(short.withColumn("n", -F.col("n"))).withColumnsRenamed({"l": "il", "r": "ir"}).dropDuplicates(["n", "h", "ik", "il", "ir"])
 
 
-def _agree(a: Column, i: Column, b: Column, j: Column, step: int, most: int) -> Column:
-    """Words that agree in a row from places i and j on, going by ``step``, up to ``most``."""
-    same = lambda k: F.get(a, i + step * k).eqNullSafe(F.get(b, j + step * k)) & F.get(a, i + step * k).isNotNull()
+def _bitmap(hashes: DataFrame, longs: int) -> DataFrame:
+    """One row: an array of ``longs`` longs (a power of two) in which the bits of all hashes ``h`` are set."""
+    at = F.col("h").bitwiseAND(F.lit(longs * 64 - 1))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
+    filled = hashes.groupBy(F.shiftright(at, 6).alias("id")).agg(F.bit_or(one).alias("bits"))
+    dense = hashes.sparkSession.range(longs).join(filled, "id", "left").select("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
+    return dense.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "bits"))), lambda x: x["bits"]).alias("bitmap"))
+
+
+def _holds(bitmap: Column, h: Column, longs: int) -> Column:
+    at = h.bitwiseAND(F.lit(longs * 64 - 1))
+    return F.getbit(F.get(bitmap, F.shiftright(at, 6).cast("int")), at.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+
+def _agree(a: Column, b: Column, most: int) -> Column:
+    """Words at the head of two arrays that agree, up to ``most``."""
     out = F.lit(most)
     for k in reversed(range(most)):
-        out = F.when(~same(k), F.lit(k)).otherwise(out)
+        out = F.when((F.get(a, F.lit(k)) == F.get(b, F.lit(k))).eqNullSafe(F.lit(True)), out).otherwise(F.lit(k))
     return out
 
 
@@ -79,8 +114,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     occurrence of a window is hit. ``items``: ids, as sorted strings, of items with an occurring window. A text is
     contaminated if at least ``min_share`` of its words, and one at least, are hit. Null and wordless texts have no
     words and are clean; wordless items have no window. Repeated rows get a result each; of repeated item ids each
-    text counts, the id once. Texts and items may be of any length and number: kept grams are joined, and a side is
-    broadcast only if its counted rows are few.
+    text counts, the id once. Texts and items may be of any length and number: they are read in chunks, kept grams are
+    joined, and a side is broadcast only if its counted bytes are few.
     """
     source = docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
     items = checkpointed(
@@ -88,44 +123,44 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         .withColumn("ik", F.xxhash64("item", "w")).dropDuplicates(["ik"])
     )
     lengths = sorted(r[0] for r in items.where(F.size("w") < WINDOW).select(F.size("w")).distinct().collect())  # 12 values at most
-    item_grams = _grams(_marks(items, [], "ik"), [], "ik")
+    item_grams = checkpointed(_item_grams(items))
+    # The bitmap holds kept grams, whole short items, and, to look these up, their first words.
+    first = items.where(F.size("w") < WINDOW).select(F.shiftright(gram_hash(F.col("w"), F.lit(0), 1), PLACE_BITS).alias("h"))
+    hashes = item_grams.select("h").unionByName(first).distinct()
+    longs = min(MOST_LONGS, 1 << max(6, (hashes.count() * BITS_PER_GRAM // 64).bit_length()))
+    bitmap = checkpointed(_bitmap(hashes, longs))
+
+    w, bits = F.col("w"), F.col("bitmap")
+    worded = source.select("id", "key", item_words(F.col("text")).alias("w")).withColumn("n_words", F.size("w").cast("long"))
+    chunks = _chunks(worded, "id", "key", "n_words").crossJoin(F.broadcast(bitmap)).withColumn("g", gram_keys(w)).withColumn("k", winnowed(F.col("g")))
+    entry = lambda n, h, p: F.struct(F.lit(n).alias("n"), h.alias("h"), p.alias("p"), *_around(w, p))
+    found = F.transform(F.filter("k", lambda x: _holds(bits, _hash(x), longs)), lambda x: entry(GRAM, _hash(x), _place(x)))
+    found = F.coalesce(found, F.slice(F.array(entry(GRAM, F.lit(0).cast("long"), F.lit(0))), 1, 0))
     if lengths:
-        whole = _grams(_marks(items.where(F.size("w") < WINDOW), lengths, "ik", "w"), lengths, "ik", "w")
-        item_grams = item_grams.unionByName(whole.where(F.size("w") == F.col("n")).drop("w"))
-    item_grams = checkpointed(item_grams.withColumnRenamed("p", "q"))
-    few = item_grams.count() <= BROADCAST_ROWS
-
-    worded = source.select("id", "key", item_words(F.col("text")).alias("w"))
-    marks = checkpointed(_marks(worded.withColumn("n_words", F.size("w").cast("long")), lengths, "id", "key", "n_words"))
-    grams = _grams(marks, lengths, "key")
-    seeds = grams.join(F.broadcast(item_grams) if few else item_grams, ["n", "h"]).select("key", "n", "p", "ik", "q")
-    seeds = checkpointed(seeds.groupBy("key").agg(F.collect_set(F.struct("n", "p", "ik", "q")).alias("seeds")))
-    rows, total = seeds.agg(F.count("*"), F.coalesce(F.sum(F.size("seeds")), F.lit(0))).first()
-    # Few seeds are broadcast; else texts without any are dropped by their keys, if these are few, before the join shuffles.
-    if total > BROADCAST_ROWS // 4:
-        texts = source.join(F.broadcast(seeds.select("key")), "key", "left_semi") if rows <= BROADCAST_ROWS else source
-    else:
-        texts, seeds = source, F.broadcast(seeds)
-    found = texts.join(seeds, "key").select("key", "seeds", item_words(F.col("text")).alias("w"))
-    # The words around each hit go on, not the whole text: SPAN - 1 to its left, WINDOW - 1 from its start on.
-    around = found.select("key", "w", F.explode("seeds").alias("s")).select(
-        "key", "s.*", F.slice("w", F.greatest(F.col("s.p") - (SPAN - 2), F.lit(1)), F.least(F.col("s.p"), F.lit(SPAN - 1)) + WINDOW).alias("c")
-    ).withColumn("i", F.least(F.col("p"), F.lit(SPAN - 1)))
-    at = around.join(F.broadcast(items) if few else items, "ik")
-    c, w, i, q = F.col("c"), F.col("w"), F.col("i"), F.col("q")
+        short = lambda i, n: F.shiftright(gram_hash(w, i, n), PLACE_BITS)
+        begins = F.filter(F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0))), lambda i: (i < F.size(w)) & _holds(bits, short(i, 1), longs))
+        chunks = chunks.withColumn("begins", begins)
+
+        def whole(n: int) -> Column:
+            return F.transform(F.filter("begins", lambda i: (i + n <= F.size(w)) & _holds(bits, short(i, n), longs)), lambda i: entry(-n, short(i, n), i))
+
+        found = F.concat(found, *map(whole, lengths))
+    marks = written(chunks.select("id", "key", "n_words", "chunk", found.alias("found")), "marks")
+    grams = marks.select("key", "chunk", F.explode_outer("found").alias("x")).where("x is not null").select("key", (F.col("x.p") + F.col("chunk").cast("long") * CHUNK).alias("p"), "x.n", "x.h", "x.l", "x.r")
     spans = (
-        at.withColumn("left", F.when(F.col("n") == GRAM, _agree(c, i - 1, w, q - 1, -1, SPAN - 1)).otherwise(F.lit(0)))
-        .withColumn("right", _agree(c, i, w, q, 1, WINDOW))
-        .where(F.col("left") + F.col("right") >= F.least(F.size("w"), F.lit(WINDOW)))
+        grams.join(small_or_shuffled(item_grams), ["n", "h"])
+        .withColumn("left", F.when(F.col("n") > 0, _agree(F.col("l"), F.col("il"), SPAN - 1)).otherwise(F.lit(0)))
+        .withColumn("right", _agree(F.col("r"), F.col("ir"), WINDOW))
+        .where(F.col("left") + F.col("right") >= F.col("need"))
         .select("key", "item", (F.col("p") - F.col("left")).alias("a"), (F.col("p") + F.col("right")).alias("b"))
     )
     merged = spans.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("spans"), F.sort_array(F.collect_set("item")).alias("items"))
     total = F.aggregate(
-        F.col("spans"), F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("end")),
+        F.col("spans"), F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end")),
         lambda s, x: F.struct((s["n"] + F.greatest(F.lit(0), x["b"] - F.greatest(x["a"], s["end"]))).cast("long").alias("n"), F.greatest(s["end"], x["b"]).alias("end")),
     )
     hits = checkpointed(merged.select("key", total["n"].alias("n_hit"), "items"))
-    counted = marks.select("id", "key", "n_words")
+    counted = marks.where("chunk = 0").select("id", "key", "n_words")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return counted.join(small_or_shuffled(hits), "key", "left").select(
         F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),

@@ -84,6 +84,17 @@ def test_raw(spark, tmp_path):
     assert [r["ts"] for r in read_raw(spark, str(tmp_path / "raw/s1-ch.10.raw")).orderBy("idx").collect()] == list(range(60))
 
 
+def test_raw_is_checked_before_files_appear(spark, tmp_path):
+    schema = "channel int, ts long, value int"
+    for k, rows in enumerate(([(0, 5, 1), (0, 5, 2), (0, 6, 3)], [(c, t, 0) for c in (0, 1) for t in [*range(50), 20]])):
+        with pytest.raises(Exception, match="strictly grow"):
+            write_raw(spark.createDataFrame(rows, schema), str(tmp_path / f"bad{k}"), channels=2, partitions=4)
+        assert not [p for p in (tmp_path / f"bad{k}").glob("*") if not p.name.startswith(".")]
+    spark.createDataFrame([(3, t, t) for t in range(9)], schema).coalesce(1).selectExpr("channel", "ts", "cast(value as short) value").write.format("tidewire_raw").mode("append").options(channels="4").save(str(tmp_path / "direct"))
+    np.testing.assert_array_equal(np.fromfile(tmp_path / "direct/ch.3.raw", "<i2"), range(9))
+    write_raw(spark.createDataFrame([], schema), str(tmp_path / "none"), channels=2)
+
+
 def test_spike_files(spark, tmp_path):
     m = np.random.default_rng(0).normal(size=(5, 13))
     (tmp_path / "spikes.bin").write_bytes(m.tobytes())
@@ -120,3 +131,38 @@ def test_rec_stream(spark, tmp_path):
     stream = spark.readStream.format("tidewire_rec").option("packets_per_trigger", "8").load(str(tmp_path / "a.rec"))
     _run(stream, tmp_path, "packets")
     assert [r["ts"] for r in spark.table("packets").orderBy("ts").collect()] == list(range(30))
+
+
+def test_rec_stream_restarts(spark, tmp_path):
+    """After restarts, with the same file and a grown one, every packet has come once."""
+    data = np.random.default_rng(0).integers(-9, 9, (45, 32))
+    path, out = tmp_path / "a.rec", str(tmp_path / "out")
+    read_rec(spark, str(path.parent))
+    for n in (30, 30, 45, 45):
+        write_rec(path, np.arange(n), data[:n], [1, 0])
+        for _ in range(2):
+            stream = spark.readStream.format("tidewire_rec").option("packets_per_trigger", "8").option("packets_per_partition", "5").load(str(path))
+            q = stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).start(out)
+            q.processAllAvailable()
+            q.stop()
+            assert sorted(r["ts"] for r in spark.read.parquet(out).collect()) == list(range(n))
+
+
+def test_rec_bounds_of_unordered_timestamps(spark, tmp_path):
+    """Timestamps that wrap and lie out of order: no packet inside the bounds is left out."""
+    ts = np.concatenate([np.arange(2**32 - 20, 2**32), np.arange(30), [500, 3, 7]]).astype(np.uint32)
+    write_rec(tmp_path / "a.rec", ts, np.zeros((len(ts), 32)), [0])
+    for low, high in ((0, 40), (5, 8), (2**32 - 3, 2**32), (400, 600), (1000, 2000)):
+        got = read_rec(spark, str(tmp_path / "a.rec"), packets_per_partition=11, block_size=4).where(f"ts >= {low} and ts <= {high}")
+        assert sorted(r["ts"] for r in got.collect()) == sorted(int(t) for t in ts if low <= t <= high)
+
+
+def test_rec_options(spark, tmp_path):
+    rows = np.zeros(5, np.dtype([("h", "u1", 7), ("t", "<u8"), ("d", "i1", 64)]))
+    rows["t"], rows["d"] = np.arange(2**33, 2**33 + 5), np.arange(320).reshape(5, 64) % 100 - 50
+    text = '<?xml version="1.0"?>\n<Configuration>\n<HardwareConfiguration numChannels="32">\n<Device numBytes="4"/>\n</HardwareConfiguration>\n<SpikeChannel hwChan="33"/>\n</Configuration>\n'
+    (tmp_path / "a.rec").write_bytes(text.encode() + rows.tobytes())
+    got = read_rec(spark, str(tmp_path / "a.rec"), start_byte_size=3, timestamp_size=8, n_channels=64, bytes_per_neural_channel=1).orderBy("packet_no").collect()
+    assert [r["ts"] for r in got] == rows["t"].tolist() and [r["data"] for r in got] == [[int(x[33 % 32 * 2 + 1])] for x in rows["d"]]
+    with pytest.raises(ValueError):
+        RecFormat(timestamp_size=3)

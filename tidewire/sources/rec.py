@@ -11,7 +11,7 @@ import os
 import xml.etree.ElementTree as ET
 from abc import ABC, abstractmethod
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -48,15 +48,26 @@ class Layout:
     channels: int
     order: tuple[int, ...]
     packets: int
+    ts_bytes: int = 4
+    sample_bytes: int = 2
 
     @property
     def dtype(self) -> np.dtype:
-        return np.dtype([("header", "u1", (self.header,)), ("ts", "<u4"), ("data", "<i2", (self.channels,))])
+        return np.dtype([("header", "u1", (self.header,)), ("ts", f"<u{self.ts_bytes}"), ("data", f"<i{self.sample_bytes}", (self.channels,))])
 
 
 class RecFormat(PacketFormat):
-    def __init__(self, start_byte_size: int = 1):
-        self.start_byte_size = start_byte_size
+    """Sizes in bytes of a packet's start, timestamp and samples, and the number of hardware channels (0: as the workspace says)."""
+
+    def __init__(self, start_byte_size: int = 1, timestamp_size: int = 4, n_channels: int = 0, bytes_per_neural_channel: int = 2):
+        if timestamp_size not in (2, 4, 8) or bytes_per_neural_channel not in (1, 2):
+            raise ValueError("timestamps have 2, 4 or 8 bytes and samples 1 or 2")
+        self.start_byte_size, self.timestamp_size, self.n_channels, self.bytes_per_neural_channel = start_byte_size, timestamp_size, n_channels, bytes_per_neural_channel
+
+    @staticmethod
+    def of(options: dict) -> RecFormat:
+        named = ("start_byte_size", "timestamp_size", "n_channels", "bytes_per_neural_channel")
+        return RecFormat(**{k: int(options[k]) for k in named if k in options})
 
     def layout(self, path: str) -> Layout:
         text = b""
@@ -72,7 +83,7 @@ class RecFormat(PacketFormat):
         hardware = root.find("HardwareConfiguration")
         if hardware is None:
             raise ValueError(f"{path}: no HardwareConfiguration")
-        channels = int(hardware.attrib["numChannels"])
+        channels = self.n_channels or int(hardware.attrib["numChannels"])
         if channels % CARD:
             raise ValueError(f"{path}: {channels} channels aren't a multiple of {CARD}")
         if not channels:
@@ -80,13 +91,13 @@ class RecFormat(PacketFormat):
         header = self.start_byte_size + sum(int(x.attrib.get("numBytes", 0)) for x in hardware)
         cards = channels // CARD
         wires = [int(x.attrib["hwChan"]) for x in root.iter("SpikeChannel")]
-        size = np.dtype([("h", "u1", (header,)), ("t", "<u4"), ("d", "<i2", (channels,))]).itemsize
-        packets = (os.path.getsize(path) - len(text)) // size  # a cut-off last packet doesn't count
-        return Layout(len(text), header, channels, tuple(w % CARD * cards + w // CARD for w in wires), packets)
+        order = tuple(w % CARD * cards + w // CARD for w in wires)
+        at = Layout(len(text), header, channels, order, 0, self.timestamp_size, self.bytes_per_neural_channel)
+        return replace(at, packets=(os.path.getsize(path) - len(text)) // at.dtype.itemsize)  # a cut-off last packet doesn't count
 
     def decode(self, path: str, layout: Layout, first: int, count: int) -> tuple[np.ndarray, np.ndarray]:
         rows = np.fromfile(path, layout.dtype, count, offset=layout.start + first * layout.dtype.itemsize)
-        return rows["ts"].astype(np.int64), rows["data"][:, list(layout.order)]
+        return rows["ts"].astype(np.int64), rows["data"][:, list(layout.order)].astype(np.int16)
 
 
 @dataclass
@@ -108,10 +119,10 @@ def files_of(path: str) -> list[str]:
 
 
 class RecReader(DataSourceReader):
-    """Ranges of packets of each file are partitions; timestamp bounds skip ranges, as timestamps grow within a file."""
+    """Ranges of packets of each file are partitions. Packets outside the timestamp bounds are left out where they are read: as timestamps may wrap or lie out of order, no range is judged by its ends."""
 
     def __init__(self, options: dict, form: PacketFormat | None = None):
-        self.form = form or RecFormat(int(options.get("start_byte_size", 1)))
+        self.form = form or RecFormat.of(options)
         self.files = files_of(options["path"])
         self.per = int(options.get("packets_per_partition", 1 << 18))
         self.block = int(options.get("block_size", 8192))
@@ -126,37 +137,38 @@ class RecReader(DataSourceReader):
                     self.low = max(self.low, f.value)
                 if isinstance(f, LessThanOrEqual | LessThan | EqualTo):
                     self.high = min(self.high, f.value)
-            yield f  # ranges are skipped whole; Spark filters the rows
+            yield f  # Spark filters the rows again
 
     def partitions(self) -> list[PacketRange]:
         out = []
         for i, path in enumerate(self.files):
             at = self.form.layout(path)
             for first in range(0, at.packets, self.per):
-                count = min(self.per, at.packets - first)
-                if self.low > -(1 << 63) or self.high < (1 << 63) - 1:
-                    a, b = (int(self.form.decode(path, at, k, 1)[0][0]) for k in (first, first + count - 1))
-                    if b < self.low or a > self.high:
-                        continue
-                out.append(PacketRange(i, path, at, first, count))
+                out.append(PacketRange(i, path, at, first, min(self.per, at.packets - first)))
         return out or [PacketRange(-1, "", Layout(0, 0, 0, (), 0), 0, 0)]
 
     def read(self, partition: PacketRange) -> Iterator[pa.RecordBatch]:
         for first in range(partition.first, partition.first + partition.count, self.block):
             n = min(self.block, partition.first + partition.count - first)
             ts, data = self.form.decode(partition.path, partition.layout, first, n)
+            number = np.arange(first, first + n)
+            inside = (ts >= self.low) & (ts <= self.high)
+            if not inside.all():
+                ts, data, number, n = ts[inside], data[inside], number[inside], int(inside.sum())
+            if not n:
+                continue
             if self.channels is not None:
                 data = data[:, self.channels]
             flat = pa.array(np.ascontiguousarray(data).ravel(), pa.int16())
             ends = pa.array(np.arange(n + 1, dtype=np.int32) * data.shape[1])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, partition.file_id, np.int32)), pa.array([partition.path] * n), pa.array(np.arange(first, first + n)), pa.array(ts), pa.ListArray.from_arrays(ends, flat)],
+                [pa.array(np.full(n, partition.file_id, np.int32)), pa.array([partition.path] * n), pa.array(number), pa.array(ts), pa.ListArray.from_arrays(ends, flat)],
                 schema=pa.schema([("file_id", pa.int32()), ("path", pa.string()), ("packet_no", pa.int64()), ("ts", pa.int64()), ("data", pa.list_(pa.int16()))]),
             )
 
 
 class RecSource(DataSource):
-    """Options: ``path``, ``channels`` (e.g. ``9,3,0``: these logical channels in this order), ``start_byte_size``, ``packets_per_partition``, ``block_size``."""
+    """Options: ``path``, ``channels`` (e.g. ``9,3,0``: these logical channels in this order), ``packets_per_partition``, ``block_size``, and those of RecFormat."""
 
     @classmethod
     def name(cls) -> str:

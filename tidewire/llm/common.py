@@ -85,6 +85,33 @@ def small_or_shuffled(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if is_small(df, limit) else df.hint("merge")
 
 
+#: Bits of a bitmap for each hash, and longs that it has at most (16 MB); beyond them it drops less, and never what it should not.
+BITS_PER_HASH, MOST_LONGS = 64, 1 << 21
+
+
+def bitmap_of(hashes: DataFrame) -> tuple[DataFrame, int]:
+    """One checkpointed row ``bitmap``, an array of longs in which a bit of each hash ``h`` is set, and the number of longs (a power of two)."""
+    longs = min(MOST_LONGS, 1 << max(6, (hashes.count() * BITS_PER_HASH // 64).bit_length()))
+    at = F.col("h").bitwiseAND(F.lit(longs * 64 - 1))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
+    filled = hashes.groupBy(F.shiftright(at, 6).alias("id")).agg(F.bit_or(one).alias("bits"))
+    dense = hashes.sparkSession.range(longs).join(filled, "id", "left").select("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
+    return checkpointed(dense.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "bits"))), lambda x: x["bits"]).alias("bitmap"))), longs
+
+
+def holds(bitmap: Column, h: Column, longs: int) -> Column:
+    """Whether the bit of ``h`` is set: true for every hash of the bitmap, and for few others."""
+    at = h.bitwiseAND(F.lit(longs * 64 - 1))
+    return F.getbit(F.get(bitmap, F.shiftright(at, 6).cast("int")), at.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+
+def joined_few(rows: DataFrame, few: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Rows of long texts joined with the rows of ``few`` by hashes ``key``: a bitmap drops most texts without one before the others are shuffled, alike at every size."""
+    bitmap, longs = bitmap_of(few.select(F.col(key).alias("h")))
+    thin = rows.crossJoin(F.broadcast(bitmap)).where(holds(F.col("bitmap"), F.col(key), longs)).drop("bitmap")
+    return thin.join(few.hint("merge"), key, how)
+
+
 def words(text: Column) -> Column:
     """Whitespace words of a text as an array (null and blank texts: empty array)."""
     trimmed = F.btrim(text, F.lit(" \t\n\x0b\x0c\r"))
@@ -102,6 +129,13 @@ def row_key(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col), F.col(text_col))
 
 
+def private(columns: list[str], prefix: str = "__tw") -> str:
+    """A prefix that none of the columns has."""
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix += "_"
+    return prefix
+
+
 def text_batches(batches: Iterator[pa.RecordBatch], limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of the batches that hold about ``limit`` bytes each, and one row at least, so that memory doesn't follow the number of long texts in a batch."""
     for batch in batches:

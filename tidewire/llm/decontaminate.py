@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, checkpointed, row_key, small_or_shuffled, written
+from .common import ascii_lower, bitmap_of, checkpointed, holds, row_key, small_or_shuffled, written
 
 WINDOW, GRAM = 13, 5
 #: Grams that a winnowing window spans: GRAM + SPAN - 1 == WINDOW.
@@ -23,8 +23,6 @@ SPAN = WINDOW - GRAM + 1
 CHUNK = 4096
 #: A kept gram is one long: 51 bits of hash over 13 bits of its place in the chunk.
 PLACE_BITS = 13
-#: Bits of the bitmap for each gram of an item, and longs that it has at most (16 MB).
-BITS_PER_GRAM, MOST_LONGS = 64, 1 << 21
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -85,20 +83,6 @@ def _item_grams(items: DataFrame) -> DataFrame:
     return kept.unionByName(short.withColumn("n", -F.col("n"))).withColumnsRenamed({"l": "il", "r": "ir"}).dropDuplicates(["n", "h", "ik", "il", "ir"])
 
 
-def _bitmap(hashes: DataFrame, longs: int) -> DataFrame:
-    """One row: an array of ``longs`` longs (a power of two) in which the bits of all hashes ``h`` are set."""
-    at = F.col("h").bitwiseAND(F.lit(longs * 64 - 1))
-    one = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
-    filled = hashes.groupBy(F.shiftright(at, 6).alias("id")).agg(F.bit_or(one).alias("bits"))
-    dense = hashes.sparkSession.range(longs).join(filled, "id", "left").select("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
-    return dense.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "bits"))), lambda x: x["bits"]).alias("bitmap"))
-
-
-def _holds(bitmap: Column, h: Column, longs: int) -> Column:
-    at = h.bitwiseAND(F.lit(longs * 64 - 1))
-    return F.getbit(F.get(bitmap, F.shiftright(at, 6).cast("int")), at.bitwiseAND(F.lit(63)).cast("int")) == 1
-
-
 def _agree(a: Column, b: Column, most: int) -> Column:
     """Words at the head of two arrays that agree, up to ``most``."""
     out = F.lit(most)
@@ -107,7 +91,7 @@ def _agree(a: Column, b: Column, most: int) -> Column:
     return out
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", min_share: float = 0.05) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", min_share: float = 0.05, key_col: str | None = None) -> DataFrame:
     """Contamination of each row: (id, n_words, n_hit, n_items, items, contaminated).
 
     A window is 13 consecutive words of an item, or the whole item if it is shorter; a word of the text inside any
@@ -115,7 +99,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     contaminated if at least ``min_share`` of its words, and one at least, are hit. Null and wordless texts have no
     words and are clean; wordless items have no window. Repeated rows get a result each; of repeated item ids each
     text counts, the id once. Texts and items may be of any length and number: they are read in chunks, kept grams are
-    joined, and a side is broadcast only if its counted bytes are few.
+    joined, and a side is broadcast only if its counted bytes are few. ``key_col``: a column for each row's key of id and
+    text, as ``row_key`` has it.
     """
     source = docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
     items = checkpointed(
@@ -127,22 +112,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     # The bitmap holds kept grams, whole short items, and, to look these up, their first words.
     first = items.where(F.size("w") < WINDOW).select(F.shiftright(gram_hash(F.col("w"), F.lit(0), 1), PLACE_BITS).alias("h"))
     hashes = item_grams.select("h").unionByName(first).distinct()
-    longs = min(MOST_LONGS, 1 << max(6, (hashes.count() * BITS_PER_GRAM // 64).bit_length()))
-    bitmap = checkpointed(_bitmap(hashes, longs))
+    bitmap, longs = bitmap_of(hashes)
 
     w, bits = F.col("w"), F.col("bitmap")
     worded = source.select("id", "key", item_words(F.col("text")).alias("w")).withColumn("n_words", F.size("w").cast("long"))
     chunks = _chunks(worded, "id", "key", "n_words").crossJoin(F.broadcast(bitmap)).withColumn("g", gram_keys(w)).withColumn("k", winnowed(F.col("g")))
     entry = lambda n, h, p: F.struct(F.lit(n).alias("n"), h.alias("h"), p.alias("p"), *_around(w, p))
-    found = F.transform(F.filter("k", lambda x: _holds(bits, _hash(x), longs)), lambda x: entry(GRAM, _hash(x), _place(x)))
+    found = F.transform(F.filter("k", lambda x: holds(bits, _hash(x), longs)), lambda x: entry(GRAM, _hash(x), _place(x)))
     found = F.coalesce(found, F.slice(F.array(entry(GRAM, F.lit(0).cast("long"), F.lit(0))), 1, 0))
     if lengths:
         short = lambda i, n: F.shiftright(gram_hash(w, i, n), PLACE_BITS)
-        begins = F.filter(F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0))), lambda i: (i < F.size(w)) & _holds(bits, short(i, 1), longs))
+        begins = F.filter(F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0))), lambda i: (i < F.size(w)) & holds(bits, short(i, 1), longs))
         chunks = chunks.withColumn("begins", begins)
 
         def whole(n: int) -> Column:
-            return F.transform(F.filter("begins", lambda i: (i + n <= F.size(w)) & _holds(bits, short(i, n), longs)), lambda i: entry(-n, short(i, n), i))
+            return F.transform(F.filter("begins", lambda i: (i + n <= F.size(w)) & holds(bits, short(i, n), longs)), lambda i: entry(-n, short(i, n), i))
 
         found = F.concat(found, *map(whole, lengths))
     marks = written(chunks.select("id", "key", "n_words", "chunk", found.alias("found")), "marks")
@@ -163,7 +147,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     counted = marks.where("chunk = 0").select("id", "key", "n_words")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return counted.join(small_or_shuffled(hits), "key", "left").select(
-        F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
+        F.col("id").alias(id_col), *([F.col("key").alias(key_col)] if key_col else []), "n_words", n_hit.alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
         ((n_hit > 0) & (n_hit * (1 / min_share) >= F.col("n_words"))).alias("contaminated"),
     )

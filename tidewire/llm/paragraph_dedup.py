@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from . import fragments as fr
 from . import passages
-from .common import Words, checkpointed, distinct_sets, grams, mix, release, row_key, small_or_shuffled, text_batches, to_python, written
+from .common import Words, checkpointed, distinct_sets, grams, joined_few, mix, release, row_key, small_or_shuffled, text_batches, to_python, written
 from .links import FACTS, PARITIES, linked_components, parities, parts
 
 SHINGLE = 5
@@ -235,7 +235,7 @@ def repeated_paragraphs(docs: DataFrame, percent: int = 80, min_words: int = 6,
     places = lambda kind: F.collect_set(F.when(F.col("kind") == kind, F.col("place")))
     wanted = checkpointed(met.where(F.col("kind") != fr.UNIT).groupBy("key").agg(places(fr.HIT).alias("hits"), places(fr.BAND).alias("near")))
     # Texts that share an anchor or a band with another row are read again.
-    twice = written(source.join(small_or_shuffled(wanted), "key").select("key", "id", "text", "hits", "near").mapInArrow(again, read), "twice")
+    twice = written(joined_few(source, wanted, "key").select("key", "id", "text", "hits", "near").mapInArrow(again, read), "twice")
     exact = passages.repeated(twice.where("payload is not null").select("fragment", "payload"), count)
 
     copies = twice.where("payload is null")

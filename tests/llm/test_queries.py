@@ -5,11 +5,12 @@ import os
 import duckdb
 import pandas as pd
 import pytest
-from plain import plain_components, plain_contamination, plain_quality
+from plain import plain_components, plain_contamination, plain_pii, plain_quality
 
 import corpus_pipeline
+from tidewire.llm.pii import PATTERNS
 from tidewire.llm.quality_rules import BOILERPLATE
-from tidewire.llm.queries import ORACLE_SQL, PIECES, QUERIES
+from tidewire.llm.queries import ORACLE_SQL, PIECES, PII_KEY, QUERIES
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not (os.path.isdir(SF) and os.path.exists(PIECES)), reason="no test tables or vocabularies")
@@ -26,6 +27,13 @@ def test_query_equals_sql(spark, name):
     pd.testing.assert_frame_equal(ours, theirs, check_dtype=False)
 
 
+def test_pii_query_against_plain_python(spark):
+    docs = pd.read_parquet(f"{SF}/documents.parquet").set_index("doc_id").text
+    for r in QUERIES["op2_pii"](spark, SF).collect():
+        text, kinds = plain_pii(docs[r["doc_id"]], PATTERNS, PII_KEY)
+        assert (r["text"], r["n_pii"], r["kinds"]) == (text, len(kinds), ",".join(sorted(set(kinds))))
+
+
 def test_pipeline_against_plain_python(spark):
     """All stages by plain Python and the library, but for the pseudonyms' values."""
     import sentencepiece

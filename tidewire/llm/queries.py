@@ -30,7 +30,8 @@ URL_RULES = [
 #: Vocabulary files; set TIDEWIRE_TOKENIZERS to their folder where it is another.
 TOKENIZERS = os.environ.get("TIDEWIRE_TOKENIZERS", "/opt/tokenizers")
 PIECES, RANKS = f"{TOKENIZERS}/piece_bpe_32k.model", f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
-PII_KEY = "tidewire pseudonyms"
+#: The secret of the pseudonyms; set TIDEWIRE_PII_KEY wherever they leave the house. The default is open to all and for tests and benchmarks only.
+PII_KEY = os.environ.get("TIDEWIRE_PII_KEY", "open key of tests and benchmarks")
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import fragments as fr
-from .common import Sets, Words, checkpointed, mix, row_key, small_or_shuffled, text_batches, to_python, written
+from .common import Sets, Words, checkpointed, mix, private, row_key, small_or_shuffled, text_batches, to_python, written
 from .links import FACTS, PARITIES, linked_components, parities, parts
 
 #: Vertical fragments in which a pair's partial overlaps are counted.
@@ -62,22 +62,15 @@ def _send_all(docs: DataFrame, n: int, bits: int) -> DataFrame:
     return docs.mapInArrow(run, fr.SCHEMA)
 
 
-def jaccard_join(docs: DataFrame, percent: int = 90, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id) of every row: texts link when their shingle sets' Jaccard similarity is at least ``percent`` %.
-
-    Words are runs of characters other than space and \\t-\\r, A-Z lower-cased; a set holds the distinct runs of
-    ``shingle`` words, or the whole sequence of a shorter text. Null and wordless texts have an empty set, link with
-    nothing and are their own component. ``component_id`` is the least id that links reach. Ids are integers; rows
-    that repeat an id are texts of their own that share the id; rows with a null id get the least non-null id they
-    reach, else null. Equal sets are one node, so copies are never paired. Sets are compared by 64-bit hashes.
-    """
+def _groups(docs: DataFrame, percent: int, shingle: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, key, n, sig), and (sig, root) of the sets that link with others."""
     source = to_python(docs.select(F.col(id_col).cast("long").alias("id"), row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text")))
     meta = checkpointed(shingle_sets(source, shingle, False))
     total = meta.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     count = fr.n_fragments(total, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     shared = fr.shared_counts(_send_all(source.select("text"), shingle, int(math.log2(count))), count)
 
-    classes = meta.where("sig is not null").groupBy("sig").agg(F.min("key").alias("key"), F.min("id").alias("id"), F.first("n").alias("n"))
+    classes = meta.where("sig is not null").groupBy("sig").agg(F.min("key").alias("key"), F.first("n").alias("n"))
     able = checkpointed(classes.join(shared.select(F.col("owner").alias("sig"), F.col("n").alias("m")), "sig").where(f"100 * m >= {percent} * n").select("key", "sig"))
     few = source.join(small_or_shuffled(able.select("key")), "key", "left_semi")
     sets = written(shingle_sets(few, shingle, True).drop("id", "key").dropDuplicates(["sig"]), "sets")
@@ -93,10 +86,40 @@ def jaccard_join(docs: DataFrame, percent: int = 90, shingle: int = 3, id_col: s
     prefix = ranked.where(f"rank + n - m <= n - cast(ceil({percent} * n / 100) as long) + 1").select("sig", "t", (F.col("m") - F.col("rank") + 1).alias("rest"))
     entries = checkpointed(prefix.join(sets.select("sig", "n", *PARITIES), "sig").select("t", *FACTS))
     joined = linked_components(entries, sets.select("sig", "parts"), percent)
-    least = classes.join(joined.select(F.col("node").alias("sig"), "component"), "sig", "left").select("sig", "id", F.coalesce("component", "sig").alias("root"))
-    roots = least.groupBy("root").agg(F.min("id").alias("component_id"))
-    names = least.join(roots, "root").select("sig", "component_id")
-    # Only texts whose component has another name than their own id need telling.
+    return meta, joined.select(F.col("node").alias("sig"), F.col("component").alias("root"))
+
+
+def jaccard_join(docs: DataFrame, percent: int = 90, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_shingles, component_id) of every row: texts link when their shingle sets' Jaccard similarity is at least ``percent`` %.
+
+    Words are runs of characters other than space and \\t-\\r, A-Z lower-cased; a set holds the distinct runs of
+    ``shingle`` words, or the whole sequence of a shorter text. Null and wordless texts have an empty set, link with
+    nothing and are their own component. ``component_id`` is the least id that links reach. Ids are integers; rows
+    that repeat an id are texts of their own that share the id; rows with a null id get the least non-null id they
+    reach, else null. Equal sets are one node, so copies are never paired. Sets are compared by 64-bit hashes.
+    """
+    meta, linked = _groups(docs, percent, shingle, id_col, text_col)
     copies = meta.where("sig is not null").groupBy("sig").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("id").alias("ids"), F.count("*").alias("rows"))
-    told = checkpointed(names.join(copies, "sig").where("a < b or ids < rows or not a <=> component_id").select("sig", "component_id"))
+    least = copies.join(linked, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    roots = least.groupBy("root").agg(F.min("a").alias("component_id"))
+    # Only texts whose component has another name than their own id need telling.
+    told = checkpointed(least.join(roots, "root").where("a < b or ids < rows or not a <=> component_id").select("sig", "component_id"))
     return meta.join(small_or_shuffled(told), "sig", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, percent: int = 90, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` but for copies: of each component of ``jaccard_join`` the row of the least id stays, of equal ids that of the least hash.
+
+    Rows are told apart by id and text, so an id that repeats with another text is a row of its own; of rows that
+    repeat both one stays. Rows without an id come after others. Rows without words link with nothing, and all stay.
+    """
+    meta, linked = _groups(docs, percent, shingle, id_col, text_col)
+    rows = meta.where("sig is not null").groupBy("sig", "key").agg(F.min("id").alias("id"), F.count("*").alias("c"))
+    rows = rows.join(linked, "sig", "left").select("key", "id", "c", F.coalesce("root", "sig").alias("root"))
+    keepers = rows.groupBy("root").agg(F.min(F.struct(F.isnull("id"), "id", "key")).alias("kept"), F.count("*").alias("keys"), F.max("c").alias("most")).where("keys > 1 or most > 1")
+    q, names = private(docs.columns), docs.columns
+    told = rows.join(keepers.select("root", "kept"), "root").select(F.col("key").alias(q), (F.col("key") == F.col("kept.key")).alias(f"{q}_kept"), "c")
+    told = checkpointed(told.where(~F.col(f"{q}_kept") | (F.col("c") > 1)).drop("c"))
+    judged = docs.withColumn(q, row_key(id_col, text_col)).join(small_or_shuffled(told), q, "left")
+    once = judged.where(F.col(f"{q}_kept")).dropDuplicates([q])
+    return judged.where(F.isnull(f"{q}_kept")).unionByName(once).select(*names)

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import words
+from .common import private, words
 
 SYMBOLS = r"[#*$%&|<>]"
 
@@ -85,27 +85,28 @@ def quality_rules(docs: DataFrame, rules: LineRules = LineRules(), text_col: str
     A null text has no words, so it fails; its ``clean_text`` is null. Repeated rows are judged each; columns of
     ``docs`` with the names of results are replaced.
     """
-    text, t = F.col(text_col), F.col("__qr_t")
+    q = private(docs.columns)
+    text, t = F.col(text_col), F.col(f"{q}_t")
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "lost_share", "clean_text", "kept"]
     kept_cols = [F.col(c) for c in docs.columns if c.lower() not in made or c == text_col]
     spaces = "[\\x20\\x09-\\x0D]+"
     chars = lambda x: F.length(F.regexp_replace(x, spaces, ""))
     staged = (
-        docs.select(*kept_cols, F.coalesce(text, F.lit("")).alias("__qr_t"))
-        .withColumn("__qr_w", words(t))
-        .withColumn("__qr_lines", F.split(t, "\n"))
-        .withColumn("__qr_full", F.filter("__qr_lines", lambda x: x.rlike("[^\\x20\\x09-\\x0D]")))
-        .withColumn("__qr_good", F.filter("__qr_lines", lambda x: ~line_fails(x, rules)))
-        .withColumn("__qr_s", windows_sorted(F.col("__qr_w")))
-        .withColumn("n_words", F.size("__qr_w").cast("long"))
+        docs.select(*kept_cols, F.coalesce(text, F.lit("")).alias(f"{q}_t"))
+        .withColumn(f"{q}_w", words(t))
+        .withColumn(f"{q}_lines", F.split(t, "\n"))
+        .withColumn(f"{q}_full", F.filter(f"{q}_lines", lambda x: x.rlike("[^\\x20\\x09-\\x0D]")))
+        .withColumn(f"{q}_good", F.filter(f"{q}_lines", lambda x: ~line_fails(x, rules)))
+        .withColumn(f"{q}_s", windows_sorted(F.col(f"{q}_w")))
+        .withColumn("n_words", F.size(f"{q}_w").cast("long"))
         .withColumn("word_chars", chars(t).cast("long"))
         .withColumn("n_symbols", _count(t, SYMBOLS).cast("long"))
-        .withColumn("n_dup_lines", (F.size("__qr_full") - F.size(F.array_distinct("__qr_full"))).cast("long"))
-        .withColumn("n_repeat_words", repeated_words(F.col("__qr_s")))
+        .withColumn("n_dup_lines", (F.size(f"{q}_full") - F.size(F.array_distinct(f"{q}_full"))).cast("long"))
+        .withColumn("n_repeat_words", repeated_words(F.col(f"{q}_s")))
         .withColumn("base_failed", (F.col("n_words") < rules.min_words) | (F.col("n_repeat_words") > rules.max_repeat_share * F.col("n_words")))
-        .withColumn("__qr_clean", F.array_join("__qr_good", "\n"))
-        .withColumn("lost_share", F.when(F.col("word_chars") > 0, 1 - chars(F.col("__qr_clean")) / F.col("word_chars")).otherwise(F.lit(0.0)))
-        .withColumn("clean_text", F.when(text.isNotNull(), F.col("__qr_clean")))
+        .withColumn(f"{q}_clean", F.array_join(f"{q}_good", "\n"))
+        .withColumn("lost_share", F.when(F.col("word_chars") > 0, 1 - chars(F.col(f"{q}_clean")) / F.col("word_chars")).otherwise(F.lit(0.0)))
+        .withColumn("clean_text", F.when(text.isNotNull(), F.col(f"{q}_clean")))
         .withColumn("kept", ~F.col("base_failed") & (F.col("lost_share") <= rules.max_lost_share))
     )
-    return staged.drop("__qr_t", "__qr_w", "__qr_lines", "__qr_full", "__qr_good", "__qr_clean", "__qr_s")
+    return staged.drop(f"{q}_t", f"{q}_w", f"{q}_lines", f"{q}_full", f"{q}_good", f"{q}_clean", f"{q}_s")

@@ -72,3 +72,30 @@ def test_small_cache_changes_nothing(monkeypatch):
     e = pieces.Encoder(model)
     assert [e.encode([t])[0].tolist() for t in texts] == want
     assert np.concatenate([e.encode_array(pa.array([t])).values for t in texts]).tolist() == [i for w in want for i in w]
+
+
+@needs_file
+def test_model_type_is_read_from_the_file(tmp_path):
+    with open(PIECES, "rb") as f:
+        content = f.read()
+
+    def load(more):
+        (tmp_path / "m.model").write_bytes(content + more)
+        return pieces.PieceModel.load(str(tmp_path / "m.model"))
+
+    # Later fields of a message win: the trainer's model type, the normaliser's mark before the first word and removal of spaces.
+    assert load(b"").bpe and not load(b"\x12\x02\x18\x01").bpe
+    for more in (b"\x12\x02\x18\x04", b"\x1a\x02\x18\x00", b"\x1a\x02\x20\x01"):
+        with pytest.raises(ValueError):
+            load(more)
+
+
+@needs_file
+def test_long_words_are_not_kept(monkeypatch):
+    monkeypatch.setattr(pieces, "CACHE_CHARS", 500)
+    model, rng = pieces.PieceModel.load(PIECES), random.Random(3)
+    texts = ["".join(rng.choice("abcdé漢") for _ in range(rng.choice([5, 90, 4000]))) + " and so on" for _ in range(60)]
+    want = [x.tolist() for x in pieces.Encoder(model).encode(texts)]
+    e = pieces.Encoder(model)
+    assert [e.encode([t])[0].tolist() for t in texts] == want
+    assert sum(len(w) for w in e.words if len(w) <= pieces.LONGEST_CACHED) <= 500 + 200 and sum(len(w) > pieces.LONGEST_CACHED for w in e.words) <= 1

@@ -27,8 +27,34 @@ MARK = "▁"
 _WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 _LINE_WORD = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
 _MARKS = "!#$%&*,.:;?|"
-#: Words and pairs of pieces that a worker remembers.
-CACHE_WORDS, CACHE_PAIRS = 200_000, 230_000
+#: Words and pairs of pieces that a worker remembers, and characters of the words; longer words are forgotten after their batch.
+CACHE_WORDS, CACHE_PAIRS, CACHE_CHARS, LONGEST_CACHED = 200_000, 230_000, 4_000_000, 100
+# Numbers of the model file's fields and of its model types.
+_TRAINER, _NORMALIZER, _MODEL_TYPE, _SUFFIX = 2, 3, 3, 24
+_CHARSMAP, _DUMMY_PREFIX, _EXTRA_SPACES, _ESCAPE_SPACES = 2, 3, 4, 5
+_UNIGRAM, _BPE = 1, 2
+
+
+def _fields(message: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of the fields of a protocol buffer message: integers, or the bytes of others."""
+
+    def varint(at: int) -> tuple[int, int]:
+        value = shift = 0
+        while True:
+            value |= (message[at] & 127) << shift
+            at, shift = at + 1, shift + 7
+            if message[at - 1] < 128:
+                return value, at
+
+    at = 0
+    while at < len(message):
+        tag, at = varint(at)
+        if tag & 7 == 0:
+            value, at = varint(at)
+        else:
+            size, at = {1: (8, at), 5: (4, at)}.get(tag & 7) or varint(at)
+            value, at = message[at : at + size], at + size
+        yield tag >> 3, value
 
 
 @dataclass
@@ -47,13 +73,26 @@ class PieceModel:
 
     @staticmethod
     def load(path: str) -> PieceModel:
-        """Read a SentencePiece model file (the library only reads the file)."""
+        """Read a SentencePiece model file (the library only reads the file).
+
+        Unigram and BPE models are told apart by the file. Models that change texts before they are cut (character maps,
+        removal of spaces, no mark before the first word or marks behind words) raise an error: nothing here does that.
+        """
         import sentencepiece
 
         p = sentencepiece.SentencePieceProcessor(model_file=path)
+        trainer, normalizer = {}, {}
+        for k, v in _fields(p.serialized_model_proto()):
+            if k in (_TRAINER, _NORMALIZER):
+                (trainer if k == _TRAINER else normalizer).update(_fields(v))
+        kind = trainer.get(_MODEL_TYPE, _UNIGRAM)
+        if kind not in (_UNIGRAM, _BPE):
+            raise ValueError(f"{path}: neither a unigram nor a BPE model")
+        if normalizer.get(_CHARSMAP) or not normalizer.get(_DUMMY_PREFIX, 1) or normalizer.get(_EXTRA_SPACES, 1) or not normalizer.get(_ESCAPE_SPACES, 1) or trainer.get(_SUFFIX):
+            raise ValueError(f"{path}: the model normalises texts or marks words in another way")
         ids = range(p.get_piece_size())
         special = frozenset(i for i in ids if p.is_control(i) or p.is_unknown(i) or p.is_byte(i) or p.is_unused(i))
-        return PieceModel([p.id_to_piece(i) for i in ids], [p.get_score(i) for i in ids], True, [i for i in ids if p.is_byte(i)], special, p.unk_id())
+        return PieceModel([p.id_to_piece(i) for i in ids], [p.get_score(i) for i in ids], kind == _BPE, [i for i in ids if p.is_byte(i)], special, p.unk_id())
 
 
 class Encoder:
@@ -62,6 +101,7 @@ class Encoder:
         self.ids = {p: i for i, p in enumerate(model.pieces) if i not in model.special}
         self.longest = max(map(len, self.ids), default=1)
         self.words: dict[str, tuple[int, ...]] = {}
+        self.chars, self.long = 0, []
         self.pairs: dict[tuple[str, str], bool] = {}
         #: Pieces that the merges make of their own characters.
         self.good = {p: p for p in self.ids if not model.bpe or self.merged(p) == [p]}
@@ -159,11 +199,19 @@ class Encoder:
     def _learn(self, words: set[str] | list[str]) -> None:
         """Make sure that marked words are in the cache."""
         known = self.words
-        if len(known) > CACHE_WORDS:
+        for word in self.long:
+            known.pop(word, None)
+        self.long = []
+        if len(known) > CACHE_WORDS or self.chars > CACHE_CHARS:
             # The first words met are mostly the common ones.
-            self.words = known = {w: known[w] for w in list(known)[: CACHE_WORDS // 2]}
+            self.words = known = {w: known[w] for w in list(known)[: len(known) // 2]}
+            self.chars = sum(map(len, known))
         for word, parts in self.walk(sorted(w for w in words if w not in known)):
             known[word] = self._ids(parts)
+            if len(word) > LONGEST_CACHED:
+                self.long.append(word)
+            else:
+                self.chars += len(word)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray | None]:
         """Ids of each text; null for null, none for an empty text."""

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Sets, checkpointed
+from .common import Sets, checkpointed, small_or_shuffled
 from .components import components
 
 #: Sets of a bucket that one block holds.
@@ -76,7 +76,8 @@ def linked_components(entries: DataFrame, sets: DataFrame, percent: int) -> Data
     """
     facts = F.struct(*FACTS)
     hubs = entries.groupBy("t").agg(F.min_by(facts, F.xxhash64("sig", F.pmod("t", F.lit(ORDERS)))).alias("y"), F.count("*").alias("c")).where("c > 1")
-    met = checkpointed(entries.join(hubs, "t").select("t", "c", "y", facts.alias("x")))
+    # Of its own, so that a shuffled join with it can split the entries of a hot bucket.
+    met = checkpointed(entries.join(small_or_shuffled(checkpointed(hubs)), "t").select("t", "c", "y", facts.alias("x")))
     links = checkpointed(verified(_pairs(met, percent), sets, percent))
 
     known = checkpointed(components(links))

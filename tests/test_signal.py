@@ -259,3 +259,32 @@ def test_catalogue(spark):
     for a, b in ((4, 2), (-1, 3), (5, 99)):
         with pytest.raises(ValueError):
             catalog.request(df, a, b)
+
+
+@pytest.mark.parametrize("most", [1, 40, 1 << 20])
+def test_exact_median(spark, most):
+    import numpy as np
+
+    from tidewire.operators.medians import exact_median
+
+    rng = np.random.default_rng(5)
+    values = {"one": [3.5], "two": [1.0, 4.0], "same": [2.0] * 99, "ties": [1.0] * 50 + [2.0] * 50, "big": rng.normal(size=5001).tolist(), "even": (rng.normal(size=4000) * 1e-3).tolist(), "wide": (10.0 ** rng.uniform(-9, 9, 3001)).tolist(), "near": [1 + i * 2.0**-52 for i in range(200)]}
+    df = spark.createDataFrame([(k, v) for k, x in values.items() for v in x] + [("one", None), ("none", None), ("two", float("nan"))], "k string, v double")
+    assert {r["k"]: r["median"] for r in exact_median(df, "v", ["k"], most=most).collect()} == {k: float(np.median(x)) for k, x in values.items()}
+    everything = sum(values.values(), [])
+    assert exact_median(df, "v", most=most).collect()[0]["median"] == float(np.median(everything))
+    assert [r["median"] for r in exact_median(df.where("false"), "v").collect()] == [None]
+
+
+def test_width_is_chosen(spark, monkeypatch):
+    """Without a width, orders of many rows are cut into buckets, and results are those of plain windows."""
+    from tidewire.operators import ordered
+
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(int(c), int(t)) for c in range(3) for t in rng.choice(5000, 400, replace=False)], "c int, t long")
+    want = [f(df).orderBy("c", "t").collect() for f in (lambda x: with_neighbour(x, {"p": "t"}, ["t"], ["c"]), lambda x: with_index(x, "n", ["t"], ["c"]), lambda x: with_latest(x, "l", F.when(F.col("t") % 7 == 0, F.col("t")), ["t"], ["c"]))]
+    assert ordered.width_for(df, "t", None, ["c"]) is None
+    monkeypatch.setattr(ordered, "ROWS", 50)
+    assert 400 <= ordered.width_for(df, "t", None, ["c"]) <= 700
+    got = [f(df).orderBy("c", "t").collect() for f in (lambda x: with_neighbour(x, {"p": "t"}, ["t"], ["c"]), lambda x: with_index(x, "n", ["t"], ["c"]), lambda x: with_latest(x, "l", F.when(F.col("t") % 7 == 0, F.col("t")), ["t"], ["c"]))]
+    assert got == want

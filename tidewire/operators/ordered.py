@@ -2,15 +2,33 @@
 
 A window over one whole channel, or over data without a channel, puts it all in one task. With ``width`` these
 operators cut the order into buckets of that many units: windows run inside a bucket, and what a bucket needs from those
-before it comes from a table of one row a bucket. Without ``width`` they are plain windows by ``keys``.
+before it comes from a table of one row a bucket. Without ``width`` a pass over the ordering column chooses one, of
+about ROWS rows a bucket; only tables of no more rows than that, and orders that aren't numbers, are plain windows.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 _B = "__bucket"
+#: Rows of a bucket, about, where no width is given.
+ROWS = 1 << 20
+
+
+def width_for(df: DataFrame, order: str, width: int | None, keys: list[str]) -> int | None:
+    """The width given, or one that puts about ROWS rows into each bucket of each key if they lie evenly; None for a plain window."""
+    if width is not None or df.isStreaming or not isinstance(df.schema[order].dataType, NumericType):
+        return width
+    low, high, n = df.agg(F.min(order), F.max(order), F.count("*")).first()
+    if n <= ROWS or low is None or low == high:
+        return None
+    each = n / max(1, df.select(*keys).distinct().count()) if keys else n
+    return max(1, math.ceil((high - low) * ROWS / max(each, ROWS)))
+
 
 
 def _window(keys: list[str]) -> WindowSpec:
@@ -34,6 +52,7 @@ def with_neighbour(df: DataFrame, made: dict[str, str], order: list[str], keys:
     """
     keys = keys or []
     step = F.lag if back else F.lead
+    width = width_for(df, order[0], width, keys)
     if width is None:
         w = _window(keys).orderBy(*order)
         return df.select("*", *(step(c).over(w).alias(name) for name, c in made.items()))
@@ -50,6 +69,7 @@ def with_latest(df: DataFrame, name: str, value: Column, order: list[str], keys:
     """Add the last non-null ``value`` up to and including each row."""
     keys = keys or []
     df = df.withColumn("__value", value)
+    width = width_for(df, order[0], width, keys)
     if width is None:
         w = _window(keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumn(name, F.last("__value", ignorenulls=True).over(w)).drop("__value")
@@ -66,6 +86,7 @@ def with_latest(df: DataFrame, name: str, value: Column, order: list[str], keys:
 def with_index(df: DataFrame, name: str, order: list[str], keys: list[str] | None = None, width: int | None = None) -> DataFrame:
     """Add the 0-based number of each row along the order (long)."""
     keys = keys or []
+    width = width_for(df, order[0], width, keys)
     if width is None:
         return df.withColumn(name, (F.row_number().over(_window(keys).orderBy(*order)) - 1).cast("long"))
     df = _bucketed(df, order[0], width)

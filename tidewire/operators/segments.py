@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .medians import exact_median
 from .ordered import with_index, with_neighbour
 
 
@@ -17,14 +18,14 @@ def segments(df: DataFrame, ts: str, step: float | None = 1, keys: list[str] | N
 
     A segment ends where the next timestamp is at least 2 * ``step`` later; with ``strict`` wherever it isn't exactly
     1 later, so duplicates end one too and ``step`` moves the stop alone. ``step=None`` takes the exact median step of
-    each key, a whole shuffle of the steps. Only the rows at which segments begin are ordered globally.
+    each key. Only the rows at which segments begin are ordered globally.
     """
     keys = keys or []
     order = order or [ts]
     numbered = with_index(df.where(F.col(ts).isNotNull()), "__idx", order, keys, width)
     near = with_neighbour(numbered, {"__before": ts}, order, keys, width)
     if step is None:
-        steps = near.groupBy(*keys).agg(F.median(F.col(ts) - F.col("__before")).alias("__step"))
+        steps = exact_median(near.select(*keys, (F.col(ts) - F.col("__before")).alias("__d")), "__d", keys, "__step")
         near = near.join(F.broadcast(steps), keys) if keys else near.crossJoin(F.broadcast(steps))  # one row a key
     else:
         near = near.withColumn("__step", F.lit(step))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .medians import exact_median
 from .ordered import with_latest, with_neighbour
 
 # Channels of each tetrode of the 16-channel probe.
@@ -16,10 +17,13 @@ class ProcessingError(Exception):
 
 
 def threshold(samples: DataFrame, value: str = "value", keys: list[str] | None = None, multiplier: float = 4, approx: bool = False) -> DataFrame:
-    """(keys, threshold): multiplier * median(|value| / 0.6745), exact or from a mergeable sketch."""
+    """(keys, threshold): multiplier * median(|value| / 0.6745), exact or from a mergeable sketch; no task holds a channel's values."""
     x = F.abs(F.col(value)) / 0.6745
-    mid = F.percentile_approx(x, 0.5, 10000) if approx else F.median(x)
-    return samples.groupBy(*(keys or [])).agg((F.lit(multiplier) * mid).alias("threshold"))
+    if approx:
+        mid = samples.groupBy(*(keys or [])).agg(F.percentile_approx(x, 0.5, 10000).alias("__mid"))
+    else:
+        mid = exact_median(samples.select(*(keys or []), x.alias("__x")), "__x", keys, "__mid")
+    return mid.select(*(keys or []), (F.lit(multiplier) * F.col("__mid")).alias("threshold"))
 
 
 def crossings(samples: DataFrame, thr: Column, polarity: str = "pos", idx: str = "idx", value: str = "value", keys: list[str] | None = None, width: int | None = None, adjacent: bool = True) -> DataFrame:

@@ -7,6 +7,7 @@ file. ``lineitem.l_orderkey`` are timestamps with duplicates and gaps, ``embeddi
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import design, formatting
 from ..operators import alignment, catalog, channels, decimate, filtering, interpolate, segments, spikes, timestamps
 from ..operators.ordered import with_index
+from .filter_sql import aligned_sql, filtered_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -57,6 +59,19 @@ _F = f"SELECT day AS file_id, min(idx) AS start_ts, max(idx) AS stop_ts FROM ({_
 _K = "SELECT l_orderkey AS ts, l_linenumber * CAST(1000000000000 AS BIGINT) + l_partkey * 1000000 + l_suppkey AS packet FROM lineitem"
 
 
+def _pretty_sql(source: str, key: str) -> str:
+    """(key, text) of a source (key, x) in seconds."""
+    return f"""
+        WITH d AS (SELECT {key}, x < 0 AS neg, CAST(round_even(abs(x) * 10000, 0) AS BIGINT) AS t FROM ({source})),
+        p AS (SELECT {key}, neg, t // 10000 // 86400 AS d, t // 10000 % 86400 // 3600 AS h, t // 10000 % 3600 // 60 AS m, t // 10000 % 60 AS s, t % 10000 AS f FROM d),
+        q AS (SELECT *, CASE WHEN f = 0 THEN '' WHEN m = 0 THEN rtrim('.' || lpad(CAST(f AS VARCHAR), 4, '0'), '0') ELSE ':' || lpad(CAST(f // 10 AS VARCHAR), 3, '0') END AS r FROM p)
+        SELECT {key}, CASE WHEN neg THEN '-' ELSE '' END || CASE WHEN d > 0 THEN d || ' days ' ELSE '' END ||
+          CASE WHEN h > 0 THEN h || ':' || lpad(CAST(m AS VARCHAR), 2, '0') || ':' || lpad(CAST(s AS VARCHAR), 2, '0') || r || ' hours'
+               WHEN m > 0 THEN m || ':' || lpad(CAST(s AS VARCHAR), 2, '0') || r || ' minutes' WHEN s > 0 THEN s || r || ' seconds'
+               ELSE printf('%.1f milliseconds', f / 10.0) END AS text FROM q
+    """
+
+
 # ---- catalogue
 
 @query(f"SELECT file_id, start_ts, stop_ts FROM ({_F})")
@@ -93,11 +108,12 @@ def o23_durations(spark, sf_dir):
 @query(f"""
     WITH g AS (SELECT *, lead(start_ts) OVER (ORDER BY start_ts) - stop_ts AS gap FROM ({_F}))
     SELECT count(*) AS n_files, count(*) = 0 AS is_empty, round((arg_max(stop_ts, start_ts) - min(start_ts)) / 30000.0, 9) AS duration_w_gaps,
-           round(sum(stop_ts - start_ts) / 30000.0, 9) AS duration_wo_gaps, round(sum(gap) / 30000.0, 9) AS inter_gap FROM g
+           round(sum(stop_ts - start_ts) / 30000.0, 9) AS duration_wo_gaps, round(sum(gap) / 30000.0, 9) AS inter_gap,
+           '<file map: ' || count(*) || ' files> ' || (SELECT text FROM ({_pretty_sql(f"SELECT 1 AS one, sum(stop_ts - start_ts) / 30000.0 AS x FROM ({_F})", "one")})) AS repr FROM g
 """)
 def o24_summary(spark, sf_dir):
     s = catalog.summary(_files(spark, sf_dir))
-    return s.select("n_files", "is_empty", *(F.round(c, 9).alias(c) for c in ("duration_w_gaps", "duration_wo_gaps", "inter_gap")))
+    return s.select("n_files", "is_empty", *(F.round(c, 9).alias(c) for c in ("duration_w_gaps", "duration_wo_gaps", "inter_gap")), "repr")
 
 
 @query(f"SELECT event_id AS idx, event_type AS channel, value FROM events WHERE event_id BETWEEN 100 AND 400")
@@ -163,7 +179,7 @@ def o30_sanitise(spark, sf_dir):
            bool_and(coalesce(d >= 0, true)) AND count(*) FILTER (d = 0) = 0 AND count(*) FILTER (value <> floor(value)) = 0 AS ok FROM n GROUP BY channel
 """)
 def o32_check(spark, sf_dir):
-    return timestamps.check(_events(spark, sf_dir), "value", ["idx"], ["channel"])
+    return timestamps.check(_events(spark, sf_dir), "value", ["idx"], ["channel"], width=WIDTH)
 
 
 @query("SELECT l_returnflag, bool_and(l_quantity = floor(l_quantity)) AS all_integral FROM lineitem GROUP BY l_returnflag")
@@ -173,7 +189,7 @@ def o32a_integral(spark, sf_dir):
 
 @query(f"SELECT channel, bool_and(coalesce(value >= p, true)) AS is_sorted FROM (SELECT channel, value, lag(value) OVER (PARTITION BY channel ORDER BY idx) AS p FROM ({_E})) GROUP BY channel")
 def o34_is_sorted(spark, sf_dir):
-    return timestamps.is_sorted(_events(spark, sf_dir), "value", ["idx"], ["channel"])
+    return timestamps.is_sorted(_events(spark, sf_dir), "value", ["idx"], ["channel"], width=WIDTH)
 
 
 @query("SELECT bool_and(coalesce(event_id >= p, true)) AS is_sorted FROM (SELECT event_id, lag(event_id) OVER (ORDER BY event_id) AS p FROM events)")
@@ -183,7 +199,7 @@ def o34_is_sorted_chunked(spark, sf_dir):
 
 @query(f"SELECT channel, a, b FROM (SELECT channel, idx AS a, lead(idx) OVER (PARTITION BY channel ORDER BY idx) AS b FROM ({_E})) WHERE b IS NOT NULL")
 def o35_pairwise(spark, sf_dir):
-    return timestamps.pairwise(_events(spark, sf_dir), "idx", ["idx"], ["channel"])
+    return timestamps.pairwise(_events(spark, sf_dir), "idx", ["idx"], ["channel"], width=WIDTH)
 
 
 @query("SELECT row_number() OVER (ORDER BY c_acctbal, c_custkey) - 1 AS rank, c_custkey AS idx FROM customer")
@@ -231,7 +247,7 @@ def o39_segments(spark, sf_dir):
 
 @query(_segments_sql(_G, "channel", "d >= 20", 10))
 def o39_segments_step(spark, sf_dir):
-    return segments.segments(_gappy(spark, sf_dir), "ts", 10, ["channel"])
+    return segments.segments(_gappy(spark, sf_dir), "ts", 10, ["channel"], width=WIDTH)
 
 
 @query(f"""
@@ -241,7 +257,7 @@ def o39_segments_step(spark, sf_dir):
     SELECT channel, min(ts) AS start_ts, CAST(trunc(max(ts) + any_value(step)) AS BIGINT) AS stop_ts, min(i) AS start_idx, max(i) + 1 AS stop_idx FROM s GROUP BY channel, g
 """)
 def o39_segments_median_step(spark, sf_dir):
-    return segments.segments(_gappy(spark, sf_dir), "ts", None, ["channel"])
+    return segments.segments(_gappy(spark, sf_dir), "ts", None, ["channel"], width=WIDTH)
 
 
 @query(_segments_sql(f"SELECT DISTINCT ts FROM ({_K})", "", "d <> 1", 1))
@@ -269,7 +285,7 @@ def o42_gap_lengths(spark, sf_dir):
     FROM (SELECT *, sum(stop_ts - start_ts) OVER (PARTITION BY channel ORDER BY start_ts) AS stop FROM ({_SEG_CH}))
 """)
 def o43_index_epochs(spark, sf_dir):
-    return segments.index_epochs(segments.segments(_gappy(spark, sf_dir), "ts", 1, ["channel"]), ["channel"])
+    return segments.index_epochs(segments.segments(_gappy(spark, sf_dir), "ts", 1, ["channel"], width=WIDTH), ["channel"])
 
 
 @query(f"SELECT start_ts, count(*) AS n FROM ({_K}) k JOIN ({_SEG}) s ON k.ts >= s.start_ts AND k.ts < s.stop_ts GROUP BY start_ts")
@@ -313,50 +329,60 @@ def _signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir).select(F.col("idx").alias("ts"), "value")
 
 
-@query()
+def _rounded(filtered: DataFrame) -> DataFrame:
+    return filtered.select("ts", F.round("value", 6).alias("value"))
+
+
+_V = "SELECT event_id AS ts, value FROM events"
+_BAND = design.design(*design.edges(30000.0, 600.0, 6000.0))
+_EPOCHS = [(0, 100), (150, 900)]
+
+
+@query(filtered_sql(_V, design.design(*design.edges(1000.0, None, 40.0)), 4096, as_int16=False))
 def o48_low_pass(spark, sf_dir):
-    return filtering.band_filter(_signal(spark, sf_dir), fs=1000.0, fh=40.0, width=WIDTH, as_int16=False, buffer_len=4096)
+    return _rounded(filtering.band_filter(_signal(spark, sf_dir), fs=1000.0, fh=40.0, width=WIDTH, as_int16=False, buffer_len=4096))
 
 
-@query()
+@query(filtered_sql(_V, design.design(*design.edges(1000.0, 40.0, None)), 4096, as_int16=False))
 def o48_high_pass(spark, sf_dir):
-    return filtering.band_filter(_signal(spark, sf_dir), fs=1000.0, fl=40.0, width=WIDTH, as_int16=False, buffer_len=4096)
+    return _rounded(filtering.band_filter(_signal(spark, sf_dir), fs=1000.0, fl=40.0, width=WIDTH, as_int16=False, buffer_len=4096))
 
 
-@query()
+@query(filtered_sql(_V, _BAND, 8192))
 def o49_band_pass(spark, sf_dir):
     return filtering.band_filter(_signal(spark, sf_dir), fs=30000.0, fl=600.0, fh=6000.0, width=WIDTH, buffer_len=8192)
 
 
-@query()
+@query(filtered_sql(_V, _BAND, epochs=_EPOCHS))
 def o49_within_epochs(spark, sf_dir):
-    found = spark.createDataFrame([(0, 100), (150, 900)], "start_ts long, stop_ts long")
-    sos = design.design(*design.edges(30000.0, 600.0, 6000.0))
-    return filtering.filter_segments(_signal(spark, sf_dir), sos, epochs=found, short="pass")
+    found = spark.createDataFrame(_EPOCHS, "start_ts long, stop_ts long")
+    return filtering.filter_segments(_signal(spark, sf_dir), _BAND, epochs=found, short="pass")
 
 
-@query()
+@query(filtered_sql(_V, _BAND, design.SPIKE.buffer_len, design.SPIKE.overlap_len))
 def o50_spike_preset(spark, sf_dir):
     return filtering.preset_filter(_signal(spark, sf_dir), design.SPIKE, width=WIDTH)
 
 
-@query()
+@query(filtered_sql(_V, design.design(*design.edges(30000.0, None, 300.0)), design.LFP.buffer_len, design.LFP.overlap_len))
+def o50_lfp_preset(spark, sf_dir):
+    return filtering.preset_filter(_signal(spark, sf_dir), replace(design.LFP, fh=300.0), width=WIDTH)
+
+
+@query(filtered_sql(_V, design.butter_band(300.0, 6000.0, 30000.0), 8192, as_int16=False))
 def o51_butterworth(spark, sf_dir):
-    return filtering.butterworth(_signal(spark, sf_dir), width=WIDTH, buffer_len=8192)
+    return _rounded(filtering.butterworth(_signal(spark, sf_dir), width=WIDTH, buffer_len=8192))
 
 
-@query()
+@query(filtered_sql(f"SELECT row_number() OVER (ORDER BY ts) - 1 AS ts, value FROM ({_G})", design.design(*design.edges(1000.0, 5.0, 100.0), 1.0, kind="butter"), as_int16=False))
 def o52_long_filter(spark, sf_dir):
     samples = with_index(_gappy(spark, sf_dir).select("ts", "value"), "n", ["ts"], width=WIDTH).select(F.col("n").alias("ts"), "value")
-    return filtering.band_filter(samples, fs=1000.0, fl=5.0, fh=100.0, gpass=1.0, kind="butter", width=WIDTH, as_int16=False)
-
-
-_SOS = design.design(*design.edges(30000.0, 600.0, 6000.0))
+    return _rounded(filtering.band_filter(samples, fs=1000.0, fl=5.0, fh=100.0, gpass=1.0, kind="butter", width=WIDTH, as_int16=False))
 
 
 def _response_sql() -> str:
     terms = []
-    for s in _SOS:
+    for s in _BAND:
         for b, sign in ((s[:3], "+"), (s[3:], "-")):
             c = [f"CAST({float(x)!r} AS DOUBLE)" for x in b]
             re, im = f"({c[0]} + {c[1]} * cos(w) + {c[2]} * cos(2 * w))", f"({c[1]} * sin(w) + {c[2]} * sin(2 * w))"
@@ -366,7 +392,7 @@ def _response_sql() -> str:
 
 @query(_response_sql())
 def o53_frequency_response(spark, sf_dir):
-    r = filtering.frequency_response(spark, _SOS, points=64).where("frequency > 0")
+    r = filtering.frequency_response(spark, _BAND, points=64).where("frequency > 0")
     return r.select("frequency", F.round("magnitude_db", 4).alias("magnitude_db"))
 
 
@@ -380,12 +406,12 @@ _PLACED = f"""
 
 @query(f"{_PLACED} (ts - a) % 3 = 0")
 def o54_decimate(spark, sf_dir):
-    return decimate.decimate(_gappy(spark, sf_dir).select("channel", "ts", "value"), q=3, prefilter=False, keys=["channel"])
+    return decimate.decimate(_gappy(spark, sf_dir).select("channel", "ts", "value"), q=3, prefilter=False, keys=["channel"], width=WIDTH)
 
 
-@query()
+@query(f"SELECT ts, value FROM ({filtered_sql(_V, design.design(*design.edges(1000.0, None, 0.5 * 1000 / 10 / 1.4)), as_int16=False)}) WHERE ts % 10 = 0")
 def o54_decimate_filtered(spark, sf_dir):
-    return decimate.decimate(_signal(spark, sf_dir), fs_in=1000.0, fs_out=100.0, width=WIDTH)
+    return _rounded(decimate.decimate(_signal(spark, sf_dir), fs_in=1000.0, fs_out=100.0, width=WIDTH))
 
 
 @query(f"{_PLACED} (ts - a) % 10 = 0 OR first OR last")
@@ -451,9 +477,9 @@ def _patch_sql(peaks: str, half: int, size: int, order: str, out: str) -> str:
     """
 
 
-@query("WITH " + _patch_sql("SELECT event_id AS peak FROM events WHERE event_id % 50 = 3", 5, 10, "", "SELECT peak, peak_idx, CAST(s AS INT) AS s, v FROM f"))
+@query("WITH " + _patch_sql("SELECT event_id AS peak FROM events", 5, 10, "", "SELECT peak, peak_idx, CAST(s AS INT) AS s, v FROM f"))
 def o59_extract(spark, sf_dir):
-    peaks = _events(spark, sf_dir).where("idx % 50 = 3").select(F.col("idx").alias("peak"))
+    peaks = _events(spark, sf_dir).select(F.col("idx").alias("peak"))
     found = spikes.extract(_events(spark, sf_dir), peaks, 10)
     return found.select("peak", "peak_idx", F.posexplode("waveform").alias("s", "v"))
 
@@ -470,15 +496,28 @@ def o60_detect_spikes(spark, sf_dir):
     return found.select("times", F.posexplode("spikes").alias("s", "v"))
 
 
-@query()
+_BY_CHANNEL = f"""
+    WITH RECURSIVE v AS (SELECT channel, row_number() OVER (PARTITION BY channel ORDER BY idx) - 1 AS i, -value AS v FROM ({_E})),
+    t AS (SELECT channel, 1.5 * median(abs(v) / 0.6745) AS thr FROM v GROUP BY channel),
+    x AS (SELECT n.channel, i AS t FROM (SELECT channel, i, v, lead(v) OVER (PARTITION BY channel ORDER BY i) AS y FROM v) n JOIN t ON t.channel = n.channel WHERE v < -thr AND y < -thr),
+    after AS (SELECT a.channel, a.t, min(b.t) AS next FROM x a JOIN x b ON b.channel = a.channel AND b.t > a.t + 30 GROUP BY ALL),
+    k(channel, t) AS (SELECT channel, min(t) FROM x GROUP BY channel UNION ALL SELECT k.channel, after.next FROM k JOIN after ON after.channel = k.channel AND after.t = k.t),
+    c AS (SELECT k.channel, k.t, arg_min(i, (v, i)) AS m FROM k JOIN v ON v.channel = k.channel AND i >= greatest(k.t - 15, 0) AND i < k.t + 15 GROUP BY ALL),
+    r AS (SELECT c.channel, c.t, m, list(v ORDER BY i) AS w FROM c JOIN v ON v.channel = c.channel AND i >= greatest(m - 15, 0) AND i < m + 15 GROUP BY ALL)
+    SELECT channel, CAST(m AS DOUBLE) AS times, CAST(s AS INT) AS s, coalesce(w[s + 1], 0.0) AS v FROM r, (SELECT unnest(range(0, 30)) AS s)
+"""
+
+
+@query(_BY_CHANNEL)
 def o60_detect_by_channel(spark, sf_dir):
-    samples = with_index(_events(spark, sf_dir), "n", ["idx"], ["channel"]).select("channel", F.col("n").alias("idx"), (-F.col("value")).alias("value"))
-    return spikes.detect_spikes(samples, 1.5, keys=["channel"])
+    samples = with_index(_events(spark, sf_dir), "n", ["idx"], ["channel"], width=WIDTH).select("channel", F.col("n").alias("idx"), (-F.col("value")).alias("value"))
+    found = spikes.detect_spikes(samples, 1.5, keys=["channel"], width=WIDTH)
+    return found.select("channel", "times", F.posexplode("spikes").alias("s", "v"))
 
 
 _TETRODE = f"""
     WITH q AS (SELECT CAST(user_id % 4 AS INT) AS channel, row_number() OVER (PARTITION BY user_id % 4 ORDER BY idx) - 1 AS i, value AS v FROM ({_E})),
-    p AS (SELECT i AS peak, c AS channel FROM (SELECT DISTINCT i FROM q WHERE i % 40 = 20), (SELECT unnest([0, 1, 2, 3]) AS c)),
+    p AS (SELECT i AS peak, c AS channel FROM (SELECT DISTINCT i FROM q), (SELECT unnest([0, 1, 2, 3]) AS c)),
     c AS (SELECT peak, p.channel, arg_min(i, (v, i)) AS m FROM p JOIN q ON q.channel = p.channel AND i >= greatest(peak - 4, 0) AND i < peak + 4 GROUP BY ALL),
     r AS (SELECT peak, c.channel, list(v ORDER BY i) AS w FROM c JOIN q ON q.channel = c.channel AND i >= greatest(m - 4, 0) AND i < m + 4 GROUP BY ALL),
     f AS (SELECT peak, channel, s, coalesce(w[s + 1], 0.0) AS v FROM r, (SELECT unnest(range(0, 8)) AS s)),
@@ -490,8 +529,8 @@ _TETRODE = f"""
 @query(_TETRODE)
 def o61_form_tetrode(spark, sf_dir):
     e = _events(spark, sf_dir).select((F.col("user_id") % 4).cast("int").alias("channel"), "idx", "value")
-    samples = with_index(e, "n", ["idx"], ["channel"]).select("channel", F.col("n").alias("idx"), "value")
-    times = samples.where("idx % 40 = 20").select(F.col("idx").alias("time")).distinct()
+    samples = with_index(e, "n", ["idx"], ["channel"], width=WIDTH).select("channel", F.col("n").alias("idx"), "value")
+    times = samples.select(F.col("idx").alias("time")).distinct()
     found = spikes.form_tetrode(samples, times, [0, 1, 2, 3], patch_size=8)
     return found.select(F.round("times", 9).alias("times"), F.posexplode("spikes").alias("s", "v"))
 
@@ -518,18 +557,7 @@ def o61c_map_groups(spark, sf_dir):
 
 # ---- formatting and alignment
 
-_DUR = "SELECT o_orderkey, (o_totalprice - 100000) * 7 / 8 AS x FROM orders"
-
-
-@query(f"""
-    WITH d AS (SELECT o_orderkey, x < 0 AS neg, CAST(round_even(abs(x) * 10000, 0) AS BIGINT) AS t FROM ({_DUR})),
-    p AS (SELECT o_orderkey, neg, t // 10000 // 86400 AS d, t // 10000 % 86400 // 3600 AS h, t // 10000 % 3600 // 60 AS m, t // 10000 % 60 AS s, t % 10000 AS f FROM d),
-    q AS (SELECT *, CASE WHEN f = 0 THEN '' WHEN m = 0 THEN rtrim('.' || lpad(CAST(f AS VARCHAR), 4, '0'), '0') ELSE ':' || lpad(CAST(f // 10 AS VARCHAR), 3, '0') END AS r FROM p)
-    SELECT o_orderkey, CASE WHEN neg THEN '-' ELSE '' END || CASE WHEN d > 0 THEN d || ' days ' ELSE '' END ||
-      CASE WHEN h > 0 THEN h || ':' || lpad(CAST(m AS VARCHAR), 2, '0') || ':' || lpad(CAST(s AS VARCHAR), 2, '0') || r || ' hours'
-           WHEN m > 0 THEN m || ':' || lpad(CAST(s AS VARCHAR), 2, '0') || r || ' minutes' WHEN s > 0 THEN s || r || ' seconds'
-           ELSE printf('%.1f milliseconds', f / 10.0) END AS text FROM q
-""")
+@query(_pretty_sql("SELECT o_orderkey, (o_totalprice - 100000) * 7 / 8 AS x FROM orders", "o_orderkey"))
 def o62_pretty_duration(spark, sf_dir):
     o = _table(spark, sf_dir, "orders")
     return o.select("o_orderkey", formatting.pretty_duration((F.col("o_totalprice") - 100000) * 7 / 8).alias("text"))
@@ -581,8 +609,9 @@ def o65_resample_linear(spark, sf_dir):
     return e.select("vec_id", F.posexplode(alignment.resample_linear(F.col("w"), F.lit(20.25), 3, 5)).alias("s", "v")).withColumn("v", F.round("v", 6))
 
 
-@query()
+@query(aligned_sql(16, 4, 5, 9))
 def o66_align(spark, sf_dir):
     """Embeddings as 16 samples of four channels, aligned by cubic splines."""
     e = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return alignment.align_waveforms(e, "embedding", "aligned", channels=4, before=5, after=9).select("vec_id", "aligned")
+    aligned = alignment.align_waveforms(e, "embedding", "aligned", channels=4, before=5, after=9).select("vec_id", F.posexplode("aligned").alias("s", "row"))
+    return aligned.select("vec_id", "s", F.posexplode("row").alias("ch", "v")).withColumn("v", F.round(F.col("v").cast("double"), 4) + 0.0)

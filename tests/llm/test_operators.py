@@ -59,7 +59,7 @@ def test_quality_statistics(spark, odd, none):
 
 @pytest.mark.parametrize(
     ("line", "fails"),
-    [("All rights reserved.", True), ("home | news | sport | more", True), ("one### two&&& three%%%", True), ("STOP!! NOW!! HERE!!", True), ("A plain line, it ends well.", False), ("", False), ("Why?! He asked 5% of them.", False)],
+    [("All rights reserved.", True), ("home | news | sport | more", True), ("TODOS LOS DERECHOS RESERVADOS", True), ("Politique de CONFIDENTIALITÉ du site", True), ("Unsere Datenschutzerklärung", True), ("one### two&&& three%%%", True), ("STOP!! NOW!! HERE!!", True), ("A plain line, it ends well.", False), ("", False), ("Why?! He asked 5% of them.", False)],
 )
 def test_line_rules(spark, line, fails):
     assert spark.createDataFrame([(line,)], "x string").select(quality_rules.line_fails(F.col("x"))).first()[0] is fails

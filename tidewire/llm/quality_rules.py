@@ -15,11 +15,14 @@ from .common import private, words
 
 SYMBOLS = r"[#*$%&|<>]"
 
-# Phrases of legal and navigation boilerplate, matched case-insensitively in lines of few words.
+# Phrases of legal and navigation boilerplate in four languages, matched case-insensitively in lines of few words.
 BOILERPLATE = (
     "all rights reserved", "licensed under", "released under the", "terms of use", "terms of service", "privacy policy",
     "cookie policy", "use of cookies", "enable javascript", "subscribe to our", "sign up for", "click here", "read more",
     "copyright ©", "powered by",
+    "todos los derechos reservados", "política de privacidad", "política de cookies", "términos de uso", "aviso legal", "haga clic aquí", "leer más", "suscríbete a",
+    "tous droits réservés", "politique de confidentialité", "politique de cookies", "conditions d'utilisation", "mentions légales", "cliquez ici", "lire la suite", "abonnez-vous",
+    "alle rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen", "cookie-richtlinie", "impressum", "hier klicken", "weiterlesen", "newsletter abonnieren",
 )
 
 
@@ -50,7 +53,7 @@ def line_fails(line: Column, rules: LineRules = LineRules()) -> Column:
         ((odd > 2) & (odd > n * rules.max_symbols_per_word))
         | ((shouts > 2) & (shouts > n * rules.max_shouts_per_word))
         | ((bars > 1) & (bars > n * rules.max_bars_per_word))
-        | ((n <= rules.boilerplate_words) & line.rlike("(?i)" + "|".join(BOILERPLATE)))
+        | ((n <= rules.boilerplate_words) & line.rlike("(?iu)" + "|".join(BOILERPLATE)))
     )
 
 

@@ -16,7 +16,7 @@ from .paragraph_dedup import repeated_paragraphs
 from .pieces import PieceModel, round_trip
 from .pii import pseudonymise
 from .quality_classifier import quality_scores
-from .quality_rules import quality_rules
+from .quality_rules import BOILERPLATE, quality_rules
 from .token_counts import length_histogram, with_suffix_sums
 from .url_filter import url_filter
 
@@ -127,7 +127,7 @@ ORACLE_SQL = {
                  len(regexp_extract_all(l, '[!?]{2,}')) AS shouts FROM ln
         ), good AS (
           SELECT doc_id, sum(CASE WHEN (odd > 2 AND odd > n * 0.5) OR (shouts > 2 AND shouts > n * 0.5) OR (bars > 1 AND bars > n * 0.25)
-              OR (n <= 15 AND regexp_matches(l, '(?i)all rights reserved|licensed under|released under the|terms of use|terms of service|privacy policy|cookie policy|use of cookies|enable javascript|subscribe to our|sign up for|click here|read more|copyright ©|powered by'))
+              OR (n <= 15 AND regexp_matches(l, '(?i)@BOILERPLATE@'))
               THEN 0 ELSE chars END) AS chars FROM lm GROUP BY doc_id
         ), s AS (
           SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words,
@@ -170,3 +170,5 @@ ORACLE_SQL = {
         FROM dw LEFT JOIN h ON h.doc_id = dw.doc_id LEFT JOIN it ON it.doc_id = dw.doc_id
     """,
 }
+
+ORACLE_SQL["op3_quality_rules"] = ORACLE_SQL["op3_quality_rules"].replace("@BOILERPLATE@", "|".join(BOILERPLATE).replace("'", "''"))

@@ -288,3 +288,24 @@ def test_width_is_chosen(spark, monkeypatch):
     assert 400 <= ordered.width_for(df, "t", None, ["c"]) <= 700
     got = [f(df).orderBy("c", "t").collect() for f in (lambda x: with_neighbour(x, {"p": "t"}, ["t"], ["c"]), lambda x: with_index(x, "n", ["t"], ["c"]), lambda x: with_latest(x, "l", F.when(F.col("t") % 7 == 0, F.col("t")), ["t"], ["c"]))]
     assert got == want
+
+
+@pytest.mark.parametrize("span", [None, 1, 40, 1000])
+def test_censor_across_buckets(spark, span):
+    """Dense and sparse events, whole and fractional times: the greedy rule, however the order is cut."""
+    rng = np.random.default_rng(7)
+    events = {0: np.arange(0, 900), 1: rng.choice(100_000, 300, replace=False), 2: np.sort(rng.choice(3000, 1500, replace=False)), 3: np.array([5]), 4: np.concatenate([np.arange(0, 50, 31), np.arange(1000, 1100)])}
+    want = set()
+    for c, x in events.items():
+        last = None
+        for t in sorted(x.tolist()):
+            if last is None or t > last + 30:
+                want.add((c, t))
+                last = t
+    rows = [(c, int(t)) for c, x in events.items() for t in x] + [(0, 7), (1, None)]
+    df = spark.createDataFrame(rows, "c int, t long")
+    assert {tuple(r) for r in spikes.censor(df, "t", 30, ["c"], span).collect()} == want
+    half = df.select("c", (F.col("t") / 2).alias("t"))
+    assert {(r["c"], int(r["t"] * 2)) for r in spikes.censor(half, "t", 15, ["c"], span).collect()} == want
+    assert {r["t"] for r in spikes.censor(df.where("c = 2"), "t", 30, None, span).collect()} == {t for c, t in want if c == 2}
+    assert spikes.censor(df.where("false"), "t", 30, ["c"], span).count() == 0

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .medians import exact_median
-from .ordered import with_latest, with_neighbour
+from .ordered import width_for, with_neighbour
 
 # Channels of each tetrode of the 16-channel probe.
 TETRODES = {1: [16, 18, 17, 20], 2: [19, 22, 21, 24], 3: [23, 26, 25, 28], 4: [27, 30, 29, 32]}
@@ -41,23 +46,69 @@ def crossings(samples: DataFrame, thr: Column, polarity: str = "pos", idx: str =
     return near.where(beyond & close).drop("__v", "__i", "__thr")
 
 
+def _last_kept(t: np.ndarray, width) -> list[int]:
+    """For each event of sorted ones, the last event kept if it is kept."""
+    after = np.searchsorted(t, t + width, "right").tolist()
+    out = list(range(len(t)))
+    for i in range(len(t) - 1, -1, -1):
+        if after[i] < len(t):
+            out[i] = out[after[i]]
+    return out
+
+
 def censor(events: DataFrame, t: str = "idx", width: int = 30, keys: list[str] | None = None, span: int | None = None) -> DataFrame:
     """(keys, t) kept by a refractory period: the first, then each later than ``width`` after the last kept one.
 
-    An event more than ``width`` after the one before it is always kept, so stretches between such events are folded
-    apart from each other, however long a channel is. No events give none.
+    The order is cut into buckets of ``span`` units, by default of about ordered.ROWS events. Which event a bucket keeps
+    first depends on the last kept one before it, and lies within ``width`` of its first event: a bucket tells, for each
+    of these, the last event it would then keep. A walk over these tables, a row a bucket, gives every bucket the event
+    before it, and buckets are then censored side by side, in time linear in their events. No events give none.
     """
-    keys = keys or []
-    plain = events.select(*keys, t).where(F.col(t).isNotNull()).distinct()
-    near = with_neighbour(plain, {"__before": t}, [t], keys, span)
-    first = F.when(F.col("__before").isNull() | (F.col(t) - F.col("__before") > width), F.col(t))
-    stretch = with_latest(near, "__stretch", first, [t], keys, span).groupBy(*keys, "__stretch").agg(F.sort_array(F.collect_list(t)).alias("__t"))
-    kind = events.schema[t].dataType.simpleString()
-    kept = F.aggregate(
-        "__t", F.array().cast(f"array<{kind}>"),
-        lambda out, x: F.when((F.size(out) == 0) | (x > F.element_at(out, -1) + width), F.array_append(out, x)).otherwise(out),
-    )
-    return stretch.select(*keys, F.explode(kept).alias(t))
+    by = keys or ["__all"]
+    plain = events.select(*(keys or []), t).where(F.col(t).isNotNull()).distinct()
+    plain = plain if keys else plain.withColumn("__all", F.lit(0))
+    kinds = {f.name: f.dataType.simpleString() for f in plain.schema.fields}
+    span = width_for(plain, t, span, keys or [])
+    fields = ", ".join(f"`{c}` {kinds[c]}" for c in by)
+    kind = to_arrow_type(plain.schema[t].dataType)
+
+    def times(table: pa.Table) -> np.ndarray:
+        return np.sort(table.column(t).to_numpy())
+
+    def told(table: pa.Table) -> pa.Table:
+        x = times(table)
+        k = int(np.searchsorted(x, x[0] + width, "right")) + 1
+        last = x[_last_kept(x, width)[:k]]
+        one = table.slice(0, 1).select([*by, "__b"])
+        return one.append_column("__from", pa.array([x[:k]], pa.list_(kind))).append_column("__to", pa.array([last], pa.list_(kind)))
+
+    def walked(table: pa.Table) -> pa.Table:
+        table = table.sort_by("__b")
+        last, before = None, []
+        for first, to in zip(table.column("__from").to_pylist(), table.column("__to").to_pylist(), strict=True):
+            before.append(last)
+            i = 0 if last is None else bisect_right(first, last + width)
+            last = to[i] if i < len(to) else last
+        return table.select([*by, "__b"]).append_column("__before", pa.array(before, kind))
+
+    def kept(table: pa.Table) -> pa.Table:
+        x, last = times(table), table.column("__before")[0].as_py()
+        after = np.searchsorted(x, x + width, "right").tolist()
+        i, found = 0 if last is None else int(np.searchsorted(x, last + width, "right")), []
+        while i < len(x):
+            found.append(i)
+            i = after[i]
+        return table.slice(0, len(found)).select(by).append_column(t, pa.array(x[found], kind))
+
+    if span is None:
+        cut = plain.withColumn("__before", F.lit(None).cast(kinds[t]))
+        out = cut.groupBy(*by).applyInArrow(kept, f"{fields}, `{t}` {kinds[t]}")
+    else:
+        cut = plain.withColumn("__b", F.floor(F.col(t) / max(span, width + 1)).cast("long"))
+        tables = cut.groupBy(*by, "__b").applyInArrow(told, f"{fields}, __b long, __from array<{kinds[t]}>, __to array<{kinds[t]}>")
+        walk = tables.groupBy(*by).applyInArrow(walked, f"{fields}, __b long, __before {kinds[t]}")
+        out = cut.join(walk, [*by, "__b"]).groupBy(*by, "__b").applyInArrow(kept, f"{fields}, `{t}` {kinds[t]}")
+    return out.select(*(keys or []), t)
 
 
 def _near(samples: DataFrame, peaks: DataFrame, at: str, low: Column, high: Column, idx: str, value: str, keys: list[str], bucket: int) -> DataFrame:

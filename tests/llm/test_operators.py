@@ -481,6 +481,14 @@ def test_language_id(spark, odd, none):
     assert language_id.language_id(odd, F.lit(True)).count() == odd.count() and language_id.language_id(none, F.lit(True)).count() == 0
 
 
+def test_letters_decide_where_no_gram_is_known(spark):
+    rows = [(i, "the of and tion ing " * 20, "aa") for i in range(30)] + [(30 + i, "жа зи ки лю мя " * 5, "bb") for i in range(5)]
+    df = spark.createDataFrame(rows + [(90, "зжлк", None), (91, "gnfo", None), (92, "ψω", None)], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in language_id.language_id(df, F.lit(True)).collect()}
+    assert got[90]["lang_pred"] == "bb" and got[91]["lang_pred"] == "aa" and got[90]["score"] > 0.9 and got[92]["score"] == 0
+    assert all(got[i]["lang_pred"] == k for i, _, k in rows)
+
+
 def test_bit_slices_hold_every_gram():
     rng = np.random.default_rng(0)
     grams = {f"l{j:03}": rng.integers(0, 2**62, 500) for j in range(70)}  # more than 64 languages

@@ -2,7 +2,8 @@
 
 The filters of all languages are one bit-sliced Bloom filter: a slot holds one bit for each language, and the AND of an
 n-gram's slots is the mask of all languages whose filters hold it. A text's hits per language are the popcounts of its
-masks by bit, corrected for each filter's rate of false positives; the largest corrected share decides.
+masks by bit, corrected for each filter's rate of false positives; the largest corrected share decides. Where no filter
+holds any n-gram of a text, its single letters decide in the same way.
 """
 
 from __future__ import annotations
@@ -25,6 +26,9 @@ MIN_OF_BEST = 0.3
 SLOTS_PER_GRAM, HASHES = 10, 3
 UNKNOWN = "und"
 
+#: Marks codes of single letters, which are in the filters too.
+SINGLE = np.uint64(1 << 63)
+
 _LETTER: list[np.ndarray] = []
 
 
@@ -45,6 +49,11 @@ def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return codes, np.diff(np.searchsorted(at, np.concatenate(([0], ends - 1))))
 
 
+def singles(codes: np.ndarray) -> np.ndarray:
+    """Codes of the letters in the middle of n-grams."""
+    return codes >> np.uint64(21) & np.uint64((1 << 21) - 1) | SINGLE
+
+
 @dataclass
 class Filters:
     langs: list[str]
@@ -59,14 +68,21 @@ class Filters:
             out = out & self.slots[(h + np.uint64(k) * step) & size]
         return out
 
-    def decide(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        codes, counts = trigrams(texts)
+    def shares(self, codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """(texts, languages): corrected share of each text's codes that the language's filter holds."""
         masks, ends = self.masks(codes), np.concatenate(([0], np.cumsum(counts)))
-        share = np.zeros((len(texts), len(self.langs)))
+        share = np.zeros((len(counts), len(self.langs)))
         for j in range(len(self.langs)):
             hit = np.concatenate(([0], np.cumsum(masks[:, j // 64] >> np.uint64(j % 64) & np.uint64(1))))
             share[:, j] = (hit[ends[1:]] - hit[ends[:-1]]) / np.maximum(counts, 1)
-        share = np.clip((share - self.false_rate) / (1 - self.false_rate), 0, 1)
+        return np.clip((share - self.false_rate) / (1 - self.false_rate), 0, 1)
+
+    def decide(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        codes, counts = trigrams(texts)
+        share = self.shares(codes, counts)
+        missed = (counts > 0) & (share.max(1, initial=0) == 0)
+        if missed.any():
+            share[missed] = self.shares(singles(codes[np.repeat(missed, counts)]), counts[missed])
         best = share.argmax(1) if self.langs else np.zeros(len(texts), int)
         known = (counts > 0) & bool(self.langs)
         return [self.langs[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)], np.where(known, share.max(1, initial=0), 0.0)
@@ -98,13 +114,15 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Fi
             owner = np.repeat(by_text, counts)
             for lang in sorted(set(by_text)):
                 code, n = np.unique(codes[owner == lang], return_counts=True)
+                letter, at = np.unique(singles(code), return_inverse=True)
+                code, n = np.append(code, letter), np.append(n, np.bincount(at, n, len(letter)).astype(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code), pa.string()), pa.array(code.view(np.int64)), pa.array(n, pa.int64())], ["lang", "code", "n"])
 
     source = to_python(docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null"))
     # Counts are kept by language in rows of few columns; shares of a language and of an n-gram's best language choose.
     counts = source.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     counts = counts.persist()
-    totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    totals = {r["lang"]: r["n"] for r in counts.where("code >= 0").groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     order = sorted(totals, key=lambda x: (-totals[x], x))
     if not order:
         return build({})
@@ -119,7 +137,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Fi
 def language_id(docs: DataFrame, learned: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(id, lang_pred, score) of every row, after learning from the rows for which ``learned`` is true.
 
-    ``score`` is the corrected share of the text's n-grams that the language's filter holds. A null text, one without
+    ``score`` is the corrected share of the text's n-grams, or else letters, that the language's filter holds. A null text, one without
     a letter, and any text if nothing could be learned are ``und`` with score 0. Whole texts are read; repeated rows
     get equal results.
     """

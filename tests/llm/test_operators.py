@@ -40,6 +40,20 @@ def test_url_filter(spark, parts):
     assert {r["verdict"] for r in url_filter.url_filter(df, [], parts=parts).collect()} == {"allow"}
 
 
+def test_url_filter_with_many_rules(spark):
+    rng = random.Random(16)
+    label = lambda: "".join(rng.choice("ab") for _ in range(rng.randint(1, 2)))
+    host = lambda: ".".join([label() for _ in range(rng.randint(0, 2))] + ["com"])
+    path = lambda: "/" + "".join(rng.choice("xy/") for _ in range(rng.randint(0, 5)))
+    rules = {(host(), path()): rng.choice(["allow", "block"]) for _ in range(300)}
+    # Of rules with equal strings the one with the longer host wins; plain_url takes the first of equals.
+    rules = sorted(((h, p, v) for (h, p), v in rules.items()), key=lambda r: -len(r[0]))
+    urls = [f"https://{host()}{path()}" for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r[0]: tuple(r[1:]) for r in url_filter.url_filter(df, rules, parts=5).collect()}
+    assert got == {i: plain_url(u, rules) for i, u in enumerate(urls)}
+
+
 # ---- quality rules
 
 def test_quality_statistics(spark, odd, none):

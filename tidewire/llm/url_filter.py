@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 Rule = tuple[str, str, str]
 
 _RULE, _ROW = 0, 1
+#: Characters of a path that borders of ranges are made of.
+PATH_CHARS = 64
 
 
 def url_host(url: Column) -> Column:
@@ -39,7 +42,7 @@ def host_key(host: Column) -> Column:
 
 
 def _bounds(keys: DataFrame, parts: int) -> list[tuple[str, str]]:
-    """Range borders from a bounded sample of (key, path), as a range partitioner takes them: at most 20 keys a range reach the driver."""
+    """Range borders from a bounded sample of (key, path), as a range partitioner takes them: at most 40 short keys a range reach the driver."""
     want = 20 * parts
     rows = keys.count()
     if rows <= parts:
@@ -49,6 +52,24 @@ def _bounds(keys: DataFrame, parts: int) -> list[tuple[str, str]]:
     return [got[i * len(got) // parts] for i in range(1, parts)] if got else []
 
 
+@dataclass
+class _Open:
+    """Rules of one host whose interval is open, by the lengths of their paths, the longest first."""
+
+    key: str
+    lengths: list[int]
+    rules: dict[str, tuple[str, str]]
+
+    def fitting(self, path: str) -> tuple[str, str] | None:
+        """The rule of the longest path that begins this one; a look-up for each length."""
+        return next((self.rules[path[:n]] for n in self.lengths if path[:n] in self.rules and n <= len(path)), None)
+
+    def add(self, path: str, rule: tuple[str, str]) -> None:
+        self.rules[path] = rule
+        if len(path) not in self.lengths:
+            self.lengths = sorted([*self.lengths, len(path)], reverse=True)
+
+
 def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted rows of (part, key, kind, ...): rules open before the rows of their interval."""
     part, stack = None, []
@@ -58,13 +79,16 @@ def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p, key, kind, path, rule, verdict in zip(*cols, strict=True):
             if p != part:
                 part, stack = p, []
-            while stack and not key.startswith(stack[-1][0]):
+            while stack and not key.startswith(stack[-1].key):
                 stack.pop()
             if kind == _RULE:
-                stack.append((key, path, rule, verdict))
+                if not stack or stack[-1].key != key:
+                    stack.append(_Open(key, [], {}))
+                stack[-1].add(path, (rule, verdict))
                 continue
-            best = max((s for s in stack if path.startswith(s[1])), key=lambda s: (len(s[2]), len(s[0]), s[2]), default=None)
-            out.append((best[2], best[3]) if best else (None, None))
+            # Of rules of one length that of the longer host wins, which is higher on the stack.
+            found = [x for x in (s.fitting(path) for s in stack) if x]
+            out.append(max(reversed(found), key=lambda x: len(x[0]), default=(None, None)))
         keep = batch.filter(pc.equal(batch.column("kind"), _ROW))
         yield pa.RecordBatch.from_arrays(
             [keep.column("id"), keep.column("host"), keep.column("path"), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.string())],
@@ -93,7 +117,8 @@ def url_filter(pages: DataFrame, rules: Iterable[Rule] | DataFrame, id_col: str
         .select(host_key(F.col("host")).alias("key"), "path", F.concat("host", "path").alias("rule"), "verdict")
     )
     judged = pages.select(F.col(id_col).alias("id"), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path")).withColumn("key", host_key(F.col("host")))
-    borders = _bounds(judged.select("key", "path"), n)
+    head = F.substring("path", 1, PATH_CHARS)
+    borders = _bounds(judged.select("key", head.alias("path")), n)
 
     @F.pandas_udf("array<int>")
     def ranges(key, path, salt):
@@ -113,7 +138,7 @@ def url_filter(pages: DataFrame, rules: Iterable[Rule] | DataFrame, id_col: str
         return _series([list(range(bisect_right(borders, (k,)), bisect_right(borders, (k + "\U0010ffff",)) + 1)) for k in key])
 
     rows = judged.select(
-        ranges("key", "path", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 30)))[0].alias("part"), "key", F.lit(_ROW).alias("kind"), "path",
+        ranges("key", head, F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 30)))[0].alias("part"), "key", F.lit(_ROW).alias("kind"), "path",
         F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict"), "id", "host",
     )
     opened = rules.select(F.explode(spans("key")).alias("part"), "key", F.lit(_RULE).alias("kind"), "path", "rule", "verdict", F.lit(None).cast(rows.schema["id"].dataType).alias("id"), F.lit(None).cast("string").alias("host"))

@@ -157,6 +157,7 @@ def text_batches(batches: Iterator[pa.RecordBatch], limit: int = 8 << 20) -> Ite
 
 def release() -> None:
     """Give memory that a worker no longer uses back: it stays alive between tasks, beside others of its executor."""
+    _POWERS.clear()
     pa.default_memory_pool().release_unused()
     if hasattr(_LIBC, "malloc_trim"):
         _LIBC.malloc_trim(0)

@@ -21,13 +21,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_batches, to_python
+from .common import release, text_batches, to_python
 
 MARK = "▁"
 _WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 _LINE_WORD = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
 _MARKS = "!#$%&*,.:;?|"
-#: Words and pairs of pieces that a worker remembers, and characters of the words; longer words are forgotten after their batch.
+#: Words and pairs of pieces that a worker keeps between tasks.
+REST_WORDS, REST_PAIRS = 20_000, 50_000
+#: Words and pairs of pieces that a worker remembers in a task, and characters of the words; longer words are forgotten after their batch.
 CACHE_WORDS, CACHE_PAIRS, CACHE_CHARS, LONGEST_CACHED = 200_000, 230_000, 4_000_000, 100
 # Numbers of the model file's fields and of its model types.
 _TRAINER, _NORMALIZER, _MODEL_TYPE, _SUFFIX = 2, 3, 3, 24
@@ -213,6 +215,13 @@ class Encoder:
             else:
                 self.chars += len(word)
 
+    def rest(self) -> None:
+        """Keep the first words and pairs met, which are mostly the common ones, and give the rest of the memory back: idle workers stay beside others of their executor."""
+        self.words, self.long = {w: x for w, x in list(self.words.items())[:REST_WORDS] if len(w) <= LONGEST_CACHED}, []
+        self.chars = sum(map(len, self.words))
+        self.pairs = dict(list(self.pairs.items())[:REST_PAIRS])
+        release()
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray | None]:
         """Ids of each text; null for null, none for an empty text."""
         split = [None if t is None else self.border.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
@@ -292,8 +301,9 @@ def encode(docs: DataFrame, model: PieceModel, text_col: str = "text", out_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = _encoder(shared)
-        for batch in text_batches((b.rename_columns(["text" if i == at else f"c{i}" for i in range(len(names))]) for b in batches), 4 << 20):
+        for batch in text_batches((b.rename_columns(["text" if i == at else f"c{i}" for i in range(len(names))]) for b in batches), 2 << 20):
             yield pa.RecordBatch.from_arrays([*batch.columns, e.encode_array(batch.column("text"))], [*names, out_col])
+        e.rest()
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields)
     return source.mapInArrow(run, f"{schema}, `{out_col}` array<int>")
@@ -335,5 +345,6 @@ def round_trip(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_
                 [batch.column("id"), pa.array([None if i is None else len(i) for i in ids], pa.int64()), pa.array([None if i is None else zlib.crc32(i.astype("<i4").tobytes()) for i in ids], pa.int64()), pa.array(same, pa.bool_())],
                 ["id", "n_tokens", "ids_crc", "same"],
             )
+        e.rest()
 
     return source.mapInArrow(run, f"id {kind}, n_tokens long, ids_crc long, same boolean").withColumnRenamed("id", id_col)

@@ -240,6 +240,35 @@ def test_pretty_duration(spark, seconds, text):
     assert spark.createDataFrame([(seconds,)], "x double").select(formatting.pretty_duration(F.col("x"))).first()[0] == text
 
 
+def _plain_bytes(x):
+    for power, name in ((4, "terabytes"), (3, "gigabytes"), (2, "megabytes"), (1, "kilobytes")):
+        if x >= 1024**power:
+            return f"{x / 1024**power:.3f} {name}"
+    return f"{x} bytes"
+
+
+def test_pretty_bytes(spark):
+    around = [1024**p + d for p in (1, 2, 3, 4) for d in (-1, 0, 1, 64 * 1024 ** (p - 1), 192 * 1024 ** (p - 1))]  # 1.0625 and 1.1875 are ties
+    long = [0, 1, -5, 2**53 + 1, 2**63 - 1, *around]
+    rng = np.random.default_rng(3)
+    long += [int(v) for v in rng.integers(0, 2**62, 300) >> rng.integers(0, 60, 300)]
+    wide = [2**63, 16074268601017109200, 19357788257787573334, 41688560875164175170, 2**92 + 2**39, 2**104 + 2**60, 123456789 * 10**29, 10**38 - 1, -(10**30), *long]
+    for kind, values in (("long", long), ("decimal(38,0)", wide)):
+        df = spark.createDataFrame([(str(x),) for x in values], "x string").select("x", formatting.pretty_bytes(F.col("x").cast(kind)).alias("text"))
+        assert {int(r["x"]): r["text"] for r in df.collect()} == {x: _plain_bytes(x) for x in values}
+    odd = spark.createDataFrame([(None,), (1536.5,), (float("inf"),), (2.0**1000,)], "x double").select(formatting.pretty_bytes(F.col("x"))).collect()
+    assert [r[0] for r in odd[:3]] == [None, "1.500 kilobytes", "Infinity terabytes"] and odd[3][0].endswith(" terabytes")
+
+
+def test_pretty_bytes_of_large_orders(spark, tmp_path):
+    from tidewire.plans.queries import QUERIES
+
+    keys = [(0, 5), (3, 100), (149_999, 14_999), (5_443_780, 542_437), (8_999_999, 899_999), (10**12, 10**11), (None, 7), (7, None)]
+    spark.createDataFrame(keys, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {(r["o_orderkey"], r["text"]) for r in QUERIES["o62b_pretty_bytes"](spark, str(tmp_path)).collect()}  # the product of 8,999,999 and 899,999 is beyond a long
+    assert got == {(k, None if k is None or c is None else _plain_bytes(k * k * c)) for k, c in keys}
+
+
 def test_frange(spark):
     np.testing.assert_allclose(spark.range(1).select(formatting.frange(0, 1, 0.3)).first()[0], [0, 1 / 3, 2 / 3])
     assert spark.range(1).select(formatting.frange(0, 0, 1)).first()[0] == []

@@ -43,12 +43,26 @@ def pretty_int(x: Column) -> Column:
     return F.format_number(x, 0)
 
 
+def _three_decimals(y: Column) -> Column:
+    """Doubles from 1 to 2**113 as ``%.3f`` in C prints them: the exact binary value, ties to even. Without branches, so that common parts are worked out once."""
+    high = F.floor(y / 2.0**50)
+    rest = y - high * 2.0**50
+    low = F.floor(rest)
+    part = ((rest - low) * 2.0**52).cast("long") * 1000  # doubles from 1 on have no bits below 2**-52
+    t = F.shiftright(part + 2**51, 52)
+    t = t - ((part.bitwiseAND(F.lit(2**52 - 1)) == 2**51) & (t % 2 == 1)).cast("int")
+    whole = high.cast("decimal(20,0)") * F.lit(2**50) + low + F.floor(t / 1000)
+    return F.concat(whole.cast("string"), F.lit("."), F.lpad((t % 1000).cast("string"), 3, "0"))
+
+
 def pretty_bytes(x: Column) -> Column:
-    """Bytes, or kilobytes to terabytes of 1024 with three decimals."""
-    out = F.concat(x.cast("string"), F.lit(" bytes"))
-    for power, name in ((1, "kilobytes"), (2, "megabytes"), (3, "gigabytes"), (4, "terabytes")):
-        out = F.when(x >= 1024**power, F.concat(F.format_string("%.3f ", F.bround(x / float(1024**power), 3)), F.lit(name))).otherwise(out)
-    return out
+    """Bytes, or kilobytes to terabytes of 1024 with three decimals; sizes beyond a long are decimals."""
+    unit, name = F.when(x >= 1024, 1024.0), F.lit(" kilobytes")
+    for power, longer in ((2, " megabytes"), (3, " gigabytes"), (4, " terabytes")):
+        unit, name = F.when(x >= 1024**power, float(1024**power)).otherwise(unit), F.when(x >= 1024**power, longer).otherwise(name)
+    y = x / unit
+    beyond = F.concat(F.format_string("%.3f", y), name)
+    return F.coalesce(F.concat(_three_decimals(F.when(y < 2.0**113, y)), name), F.when(x >= 1024, beyond).otherwise(F.concat(x.cast("string"), F.lit(" bytes"))))
 
 
 def frange(start: float, stop: float, step: float) -> Column:

@@ -574,7 +574,7 @@ def o62a_pretty_int(spark, sf_dir):
     FROM (SELECT o_orderkey, CAST(o_orderkey AS BIGINT) * o_orderkey * o_custkey AS x FROM orders)
 """)
 def o62b_pretty_bytes(spark, sf_dir):
-    o = _table(spark, sf_dir, "orders").withColumn("x", F.col("o_orderkey").cast("long") * F.col("o_orderkey") * F.col("o_custkey"))
+    o = _table(spark, sf_dir, "orders").withColumn("x", F.col("o_orderkey").cast("decimal(38,0)") * F.col("o_orderkey") * F.col("o_custkey"))
     return o.select("o_orderkey", formatting.pretty_bytes(F.col("x")).alias("text"))
 
 
